@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import entities, names
+from tidemark.llm import entities, names, nearest
 from tidemark.operators import instants
 from tidemark.session import table
 
@@ -75,5 +75,37 @@ def p1_linked(spark: SparkSession, base: str) -> DataFrame:
     return fixtures_linked(spark, base)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched)}
-ORACLE: dict[str, str] = {}
+def _signals(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "journal").select("event_id", "candidat", "team_fd", "home_fd", "commence").dropDuplicates(["event_id", "candidat", "team_fd"])
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Each journal key with the match of the same home club nearest to its kick-off, at most 36 hours away."""
+    m = table(spark, base, "matches").select("match_id", F.col("home").alias("m_home"), F.timestamp_micros(F.unix_micros(F.col("date").cast("timestamp")) + F.lit(12 * 3_600_000_000)).alias("m_noon"))
+    x = nearest.nearest(_signals(spark, base), m, "home_fd", "commence", "m_home", "m_noon", "match_id", 36 * 3600)
+    return x.select("event_id", "candidat", "team_fd", "match_id")
+
+
+def p5_open(spark: SparkSession, base: str) -> DataFrame:
+    """Signals that stay open, by candidate."""
+    done = p5_found(spark, base).select("event_id", "candidat", "team_fd")
+    return _signals(spark, base).join(done, ["event_id", "candidat", "team_fd"], "left_anti").groupBy("candidat").agg(F.count("*").alias("n_open"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open)}
+_P5 = """
+WITH s AS (SELECT DISTINCT event_id, candidat, team_fd, home_fd, commence FROM journal),
+m AS (SELECT DISTINCT match_id, home, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS noon FROM matches),
+r AS (
+  SELECT s.event_id, s.candidat, s.team_fd, m.match_id,
+         row_number() OVER (PARTITION BY s.event_id, s.candidat, s.team_fd
+                            ORDER BY abs(epoch_us(s.commence) - epoch_us(m.noon)), m.match_id) AS n
+  FROM s JOIN m ON s.home_fd = m.home AND abs(epoch_us(s.commence) - epoch_us(m.noon)) <= 129600000000),
+found AS (SELECT event_id, candidat, team_fd, match_id FROM r WHERE n = 1)
+"""
+ORACLE: dict[str, str] = {
+    "p5_found": _P5 + "SELECT * FROM found",
+    "p5_open": _P5 + """SELECT s.candidat, count(*) AS n_open FROM s LEFT JOIN found f
+  ON s.event_id = f.event_id AND s.candidat = f.candidat AND s.team_fd = f.team_fd
+WHERE f.event_id IS NULL GROUP BY s.candidat""",
+}
