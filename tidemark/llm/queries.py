@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import entities, names, nearest
+from tidemark.llm import entities, names, nearest, truncation
 from tidemark.operators import instants
 from tidemark.session import table
 
@@ -92,7 +92,26 @@ def p5_open(spark: SparkSession, base: str) -> DataFrame:
     return _signals(spark, base).join(done, ["event_id", "candidat", "team_fd"], "left_anti").groupBy("candidat").agg(F.count("*").alias("n_open"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open)}
+def _ends(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.ends(table(spark, base, "documents").select("doc_id", "source", "text"), "text", "source")
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """The documents that stop before they are finished."""
+    return _ends(spark, base).where("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, base: str) -> DataFrame:
+    """How often each source cuts."""
+    return _ends(spark, base).groupBy("source").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"), (F.count_if("cut") / F.count("cut")).alias("share"))
+
+
+def p9_limits(spark: SparkSession, base: str) -> DataFrame:
+    """Lengths at which a source's texts pile up."""
+    return truncation.limits(table(spark, base, "documents"), "text", "source")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p9_found, p9_rates, p9_limits)}
 _P5 = """
 WITH s AS (SELECT DISTINCT event_id, candidat, team_fd, home_fd, commence FROM journal),
 m AS (SELECT DISTINCT match_id, home, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS noon FROM matches),
