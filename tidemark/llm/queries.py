@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import entities, names, nearest, truncation
+from tidemark.llm import entities, leakage, names, nearest, truncation
 from tidemark.operators import instants
 from tidemark.session import table
 
@@ -92,6 +92,22 @@ def p5_open(spark: SparkSession, base: str) -> DataFrame:
     return _signals(spark, base).join(done, ["event_id", "candidat", "team_fd"], "left_anti").groupBy("candidat").agg(F.count("*").alias("n_open"))
 
 
+def _leaks(spark: SparkSession, base: str) -> DataFrame:
+    # the first line of an item is its instruction
+    items = table(spark, base, "bench_items").select("item_id", F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(F.col("text")).alias("passage"))
+    return leakage.find(table(spark, base, "documents"), "doc_id", "text", items, "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """The documents that hold passages of test items, and which."""
+    return _leaks(spark, base)
+
+
+def p8_items(spark: SparkSession, base: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return _leaks(spark, base).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
 def _ends(spark: SparkSession, base: str) -> DataFrame:
     return truncation.ends(table(spark, base, "documents").select("doc_id", "source", "text"), "text", "source")
 
@@ -111,7 +127,7 @@ def p9_limits(spark: SparkSession, base: str) -> DataFrame:
     return truncation.limits(table(spark, base, "documents"), "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p8_found, p8_items, p9_found, p9_rates, p9_limits)}
 _P5 = """
 WITH s AS (SELECT DISTINCT event_id, candidat, team_fd, home_fd, commence FROM journal),
 m AS (SELECT DISTINCT match_id, home, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS noon FROM matches),
