@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 _TAG = re.compile(r"<[/!a-zA-Z][^<>]{0,200}>")
 _BREAK = re.compile(r"(?<=\w)-[ \t]*\r?\n[>\s]*(?=\w)")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -239,6 +241,7 @@ def find(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str
     broadcast (some 20 KB an item at most) and met by all documents. brute: align every item with every text, for tests.
     """
     spark = docs.sparkSession
+    ship(spark)
     held = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).dropDuplicates([item_id])
     n = held.count()
     blocks = max(1, math.ceil(n / block))
