@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import entities, leakage, names, nearest, truncation
+from tidemark.llm import entities, leakage, names, nearest, packing, truncation
 from tidemark.operators import instants
 from tidemark.session import table
 
@@ -108,6 +108,21 @@ def p8_items(spark: SparkSession, base: str) -> DataFrame:
     return _leaks(spark, base).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
+def p7_packed(spark: SparkSession, base: str) -> DataFrame:
+    """The texts, or the pieces of those beyond a container, with the container each is placed in."""
+    return packing.packed(table(spark, base, "documents"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Containers used, the fewest possible by tokens alone, and the share of space left unused."""
+    c = p7_packed(spark, base).groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("n_loss").alias("loss"))
+    cap = packing.Limits().tokens
+    return c.agg(
+        F.count("*").alias("containers"), F.ceil(F.sum("tokens") / cap).alias("fewest"), (1 - F.sum("tokens") / (F.count("*") * cap)).alias("unused"),
+        F.max("tokens").alias("most_tokens"), F.max("segments").alias("most_segments"), F.max("loss").alias("most_loss"),
+    )
+
+
 def _ends(spark: SparkSession, base: str) -> DataFrame:
     return truncation.ends(table(spark, base, "documents").select("doc_id", "source", "text"), "text", "source")
 
@@ -127,7 +142,7 @@ def p9_limits(spark: SparkSession, base: str) -> DataFrame:
     return truncation.limits(table(spark, base, "documents"), "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p8_found, p8_items, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_rates, p9_limits)}
 _P5 = """
 WITH s AS (SELECT DISTINCT event_id, candidat, team_fd, home_fd, commence FROM journal),
 m AS (SELECT DISTINCT match_id, home, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS noon FROM matches),
