@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import core_problems
+from tidemark.plans import core_problems, form
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, form)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 FLAGSHIP = "p3_found"
