@@ -67,6 +67,13 @@ def test_as_known_against_brute_force(spark, tmp_path):
     assert p3_found(spark, str(tmp_path)).count() == len(got)
 
 
+def test_hot_entities_are_spread(spark):
+    e = spark.createDataFrame([(i, "hot", i % 900) for i in range(2000)] + [(9000, None, 5), (9001, "hot", None)], "id int, e string, d int")
+    v = spark.createDataFrame([("hot", 0, 300, "a"), ("hot", 300, dyadic.HORIZON, "b")], "e string, since int, until int, p string")
+    out = {r["id"]: r["p"] for r in dyadic.as_known(e, v, "e", "d", ["id"], "since", "until", ["p"], hot=100).collect()}
+    assert out == {i: "a" if i % 900 < 300 else "b" for i in range(2000)}
+
+
 def test_later_rows_change_nothing(spark, tmp_path):
     base = [{"id": f"m{i}", "d": date(2024, 1, 1 + i), "h": "a", "w": "b", "g": 1.0, "a": 0.0, "rec": datetime(2024, 1, 1 + i, 22)} for i in range(8)]
     write(spark, tmp_path / "x", base)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 LEVELS = 17  # 2^17 days: 358 years from the epoch
 HORIZON = 1 << LEVELS
-SALT_FROM, SALT_MOST = 6, 6  # above 2^6 days an entity has few nodes; they are repeated so that events can be spread
+SALT_FROM = 6  # up to 2^6 days a node meets the events of 2^6 days only
+HOT = 200_000  # events of one entity beyond which they are spread
 
 
 def validity(versions: DataFrame, entity: str, rank: list[str], known: str, block: Column) -> DataFrame:
@@ -52,24 +53,28 @@ def nodes(since: Column, until: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level)))
 
 
-def _salts(level: Column) -> Column:
-    return F.pow(F.lit(2), F.greatest(F.lit(0), F.least(F.lit(SALT_MOST), level - SALT_FROM))).cast("int")
-
-
-def as_known(events: DataFrame, versions: DataFrame, entity: str, day: str, event_key: list[str], since: str, until: str, payload: list[str]) -> DataFrame:
+def as_known(events: DataFrame, versions: DataFrame, entity: str, day: str, event_key: list[str], since: str, until: str, payload: list[str], hot: int = HOT) -> DataFrame:
     """events with the payload of the version that holds on their day; events without one are left out.
 
     events: entity, day (days since the epoch, int) and event_key; versions: entity, [since, until) and payload.
     Versions of one entity are disjoint, so an event meets at most one, whatever the order of rows. Null entities or
-    days match nothing. Nodes of high levels meet every event of an entity but are few (an entity has at most one node of
-    level k per 2^k days), so from level 7 on they are repeated over up to 64 salts among which the events are spread.
+    days match nothing.
+
+    A node of a high level meets all events of its entity. Entities with more than `hot` events are counted out beforehand (one
+    row per `hot` events at most, which bounds what is broadcast); their nodes of level k > 6 are repeated up to 2^(k-6) times and
+    the events spread among the copies. An entity has at most one node of level k per 2^k days, so the copies stay few.
     """
+    counts = events.groupBy(F.col(entity).alias("_hot")).agg(F.count("*").alias("_n")).where((F.col("_n") > hot) & F.col("_hot").isNotNull())
+    counts = F.broadcast(counts.select("_hot", F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
+    copies = lambda level: F.greatest(F.lit(1), F.least(F.coalesce("_parts", F.lit(1)), F.pow(F.lit(2), F.greatest(F.lit(0), level - SALT_FROM)).cast("int")))
     n = versions.select(F.col(entity).alias("_e"), F.col(since).alias("_since"), F.col(until).alias("_until"), *payload, F.explode(nodes(F.col(since), F.col(until))).alias("_n"))
     n = n.select("_e", "_since", "_until", *payload, F.col("_n.level").alias("_l"), F.col("_n.node").alias("_node"))
-    n = n.withColumn("_salt", F.explode(F.sequence(F.lit(0), _salts(F.col("_l")) - 1)))
-    spread = F.xxhash64(*event_key)
-    e = events.select(*event_key, F.col(entity).alias("_ent"), F.col(day).alias("_day"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_lev"))
-    e = e.withColumn("_at", F.floor(F.col("_day") / F.pow(F.lit(2), F.col("_lev"))).cast("int")).withColumn("_s", F.pmod(spread, _salts(F.col("_lev"))).cast("int"))
+    n = n.join(counts, F.col("_e") == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies(F.col("_l")) - 1)))
+    n = n.drop("_hot", "_parts")
+    e = events.join(counts, F.col(entity) == F.col("_hot"), "left")
+    e = e.select(*event_key, F.col(entity).alias("_ent"), F.col(day).alias("_day"), "_parts", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_lev"))
+    e = e.withColumn("_at", F.floor(F.col("_day") / F.pow(F.lit(2), F.col("_lev"))).cast("int"))
+    e = e.withColumn("_s", F.pmod(F.xxhash64(*event_key), copies(F.col("_lev"))).cast("int")).drop("_parts")
     on = [F.col("_ent") == F.col("_e"), F.col("_lev") == F.col("_l"), F.col("_at") == F.col("_node"), F.col("_s") == F.col("_salt")]
     x = e.join(n, reduce(lambda a, b: a & b, on))
     return x.where((F.col("_since") <= F.col("_day")) & (F.col("_day") < F.col("_until"))).select(*event_key, *payload)

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "tidemark", cpus: int | str = "*", partitions: int | None = None) -> SparkSession:
@@ -72,3 +73,9 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(target))
         _SHIPPED.add(app)
+
+
+def checked_broadcast(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df computed once and, if it has `most` rows at the most, marked for broadcast; beyond that the join is shuffled."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= most else df
