@@ -18,15 +18,16 @@ from tidemark.session import cut_lineage
 
 @dataclass(frozen=True)
 class Rule:
-    """name; pairs of (left, right) columns joined on equality; what prefers a candidate (least first); when the rule applies;
-    label: true or false where the pair can be judged by an attribute that the rule leaves aside, else null."""
+    """name; the right columns; for each alternative (suffix of the name, left columns) to equal them, the first that matches wins;
+    what prefers a candidate (least first); label: true or false where the pair can be judged by an attribute that the rule
+    leaves aside, else null; spread: (left day, right day, most days apart) instead of equal days."""
 
     name: str
-    on: tuple[tuple[str, str], ...]
+    right: tuple[str, ...]
+    lefts: tuple[tuple[str, tuple[str, ...]], ...]
     prefer: tuple[Column, ...] = ()
     label: Column | None = None
-    where: Column | None = None
-    spread: tuple[str, str, int] | None = field(default=None)  # (left day, right day, most days apart)
+    spread: tuple[str, str, int] | None = field(default=None)
 
 
 def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: list[Rule], labels: DataFrame | None = None) -> DataFrame:
@@ -40,27 +41,23 @@ def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rule
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    rest = cut_lineage(left.where(F.col(left_id).isNotNull()))
+    everyone = cut_lineage(left.where(F.col(left_id).isNotNull()))
     right = cut_lineage(right.where(F.col(right_id).isNotNull()))
-    everyone, found = rest, []
-    for n, rule in enumerate(rules):
-        a, b = rest, right
-        on = [F.col(x) == F.col(y) for x, y in rule.on]
+    pairs = None
+    for rule in rules:
+        rest = everyone if pairs is None else everyone.join(pairs.select(left_id), left_id, "left_anti")
+        ways = F.array(*[F.struct(F.lit(i).alias("_alt"), F.lit(rule.name + suffix).alias("_rule"), *[F.col(c).alias(f"_k{j}") for j, c in enumerate(cols)]) for i, (suffix, cols) in enumerate(rule.lefts)])
+        a = rest.select("*", F.inline(ways))
+        on = [F.col(f"_k{j}") == F.col(c) for j, c in enumerate(rule.right)]
         if rule.spread:
             # days apart: each left row is repeated for the days around its own, so that the join stays an equality
             x, y, d = rule.spread
             a = a.withColumn("_shift", F.explode(F.array(*[F.lit(i) for i in range(-d, d + 1)]))).withColumn("_day", F.col(x) + F.col("_shift"))
             on.append(F.col("_day") == F.col(y))
-        pairs = a.join(b, reduce(lambda p, q: p & q, on))
-        if rule.where is not None:
-            pairs = pairs.where(rule.where)
-        order = F.struct(*[c.alias(f"p{i}") for i, c in enumerate(rule.prefer)], F.col(right_id).alias("id"), (rule.label if rule.label is not None else F.lit(None).cast("boolean")).alias("label"))
-        best = pairs.groupBy(left_id).agg(F.min(order).alias("m")).select(left_id, F.col("m.id").alias(right_id), F.lit(rule.name).alias("rule"), F.col("m.label").alias("_label"))
-        best = cut_lineage(best)
-        found.append(best)
-        if n + 1 < len(rules):
-            rest = cut_lineage(rest.join(best.select(left_id), left_id, "left_anti"))
-    pairs = reduce(DataFrame.unionByName, found)
+        order = F.struct("_alt", *[c.alias(f"p{i}") for i, c in enumerate(rule.prefer)], F.col(right_id).alias("id"), "_rule", (rule.label if rule.label is not None else F.lit(None).cast("boolean")).alias("label"))
+        best = a.join(right, reduce(lambda p, q: p & q, on)).groupBy(left_id).agg(F.min(order).alias("m"))
+        best = cut_lineage(best.select(left_id, F.col("m.id").alias(right_id), F.col("m._rule").alias("rule"), F.col("m.label").alias("_label")))
+        pairs = best if pairs is None else pairs.unionByName(best)
     if labels is not None:
         known = labels.select(F.col(left_id).alias("_l"), F.col(right_id).alias("_r")).groupBy("_l").agg(F.min("_r").alias("_r"))
         pairs = pairs.drop("_label").join(known, F.col(left_id) == F.col("_l"), "left").withColumn("_label", F.col("_r") == F.col(right_id)).drop("_l", "_r")
@@ -81,18 +78,15 @@ def fixture_rules(far: int = 10) -> list[Rule]:
     hours = lambda h: h * 3_600_000_000
     gap = F.abs(F.col("e_us") - F.col("m_us"))
     days = F.abs(F.col("e_day") - F.col("m_day"))
-    straight = (("e_league", "m_league"), ("e_home", "m_home"), ("e_away", "m_away"))
-    swapped = (("e_league", "m_league"), ("e_home", "m_away"), ("e_away", "m_home"))
+    right = ("m_league", "m_home", "m_away")
+    straight, swapped = ("e_league", "e_home", "e_away"), ("e_league", "e_away", "e_home")
     same_day = F.col("e_day") == F.col("m_day")
     near = gap <= hours(3)
     of_day = F.pmod(gap, F.lit(hours(24)))
     usual_time = F.least(of_day, F.lit(hours(24)) - of_day) <= hours(3)
-    rules = []
-    for order, on in (("", straight), ("_swapped", swapped)):
-        rules.append(Rule(f"kickoff{order}", (*on, ("e_us", "m_us")), (days,), same_day))
-    for order, on in (("", straight), ("_swapped", swapped)):
-        rules.append(Rule(f"day{order}", (*on, ("e_day", "m_day")), (F.coalesce(gap, F.lit(0)),), near))
-    for reach in (1, far):
-        for order, on in (("", straight), ("_swapped", swapped)):
-            rules.append(Rule(f"within_{reach}_days{order}", on, (days, F.coalesce(gap, F.lit(0))), usual_time, spread=("e_day", "m_day", reach)))
-    return rules
+    ways = lambda *more: (("", (*straight, *more)), ("_swapped", (*swapped, *more)))
+    return [
+        Rule("kickoff", (*right, "m_us"), ways("e_us"), (days,), same_day),
+        Rule("day", (*right, "m_day"), ways("e_day"), (F.coalesce(gap, F.lit(0)),), near),
+        *[Rule(f"within_{d}_days", right, ways(), (days, F.coalesce(gap, F.lit(0))), usual_time, ("e_day", "m_day", d)) for d in (1, far)],
+    ]
