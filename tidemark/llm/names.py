@@ -195,7 +195,8 @@ def link(names: DataFrame, roster: DataFrame) -> DataFrame:
     found = pairs.withColumn("edits", edits).withColumn("rank", rank).where("edits is not null and rank is not null")
     found = found.groupBy("league", "written", "club_id").agg(F.min(best).alias("b"))
     found = found.groupBy("league", "written").agg(F.min(F.struct("b", "club_id")).alias("m"), F.min("b").alias("least"), F.collect_list("b").alias("all"))
-    found = found.where(F.size(F.filter("all", lambda b: b == F.col("least"))) == 1).select("league", "written", F.col("m.club_id").alias("club_id"), F.col("least.edits").cast("int").alias("edits"))
+    found = found.where(F.size(F.filter("all", lambda b: b == F.col("least"))) == 1)
+    found = cut_lineage(found.select("league", "written", F.col("m.club_id").alias("club_id"), F.col("least.edits").cast("int").alias("edits")))
     linked = exact.unionByName(found)
     unmatched = rest.select("league", "written").join(found, ["league", "written"], "left_anti").select("league", "written", F.lit(-1).cast("long").alias("club_id"), F.lit(None).cast("int").alias("edits"))
     return linked.unionByName(unmatched)

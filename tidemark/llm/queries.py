@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import entities, leakage, names, nearest, packing, truncation
 from tidemark.operators import instants
-from tidemark.session import table
+from tidemark.session import cut_lineage, table
 
 CUP = "CUP"
 
@@ -53,7 +53,8 @@ def fixtures_linked(spark: SparkSession, base: str) -> DataFrame:
     m = m.select("match_id", "x.*", "date_str").join(leagues.select("league", "tz").dropDuplicates(["league"]), "league", "left")
     m = instants.normalise(m, "date_str", "tz", zones)
     written = e.select("league", F.explode(F.array("home_team", "away_team")).alias("written")).unionByName(m.select("league", F.explode(F.array("home", "away")).alias("written")))
-    ids = names.link(written, roster(spark, base)).where("club_id >= 0").select("league", "written", "club_id")
+    # used for four columns: computed once
+    ids = cut_lineage(names.link(written, roster(spark, base)).where("club_id >= 0").select("league", "written", "club_id"))
 
     def with_ids(df: DataFrame, home: str, away: str) -> DataFrame:
         for side, c in (("h", home), ("a", away)):
