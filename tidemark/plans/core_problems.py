@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import dyadic, instants, lines
+from tidemark.plans import core_sql
 from tidemark.session import table
 
 
@@ -86,21 +87,4 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_valid, p3_found, p6_found, p6_status)}
 
-ORACLE = {
-    "p3_found": """
-WITH v AS (
-  SELECT DISTINCT match_id, date, home, away, CAST(fthg AS BIGINT) AS f, CAST(ftag AS BIGINT) AS a, recorded_at
-  FROM matches WHERE fthg IS NOT NULL AND ftag IS NOT NULL),
-w AS (
-  SELECT match_id, date, home AS club, f, a, recorded_at FROM v
-  UNION SELECT match_id, date, away, f, a, recorded_at FROM v),
-e AS (
-  SELECT DISTINCT match_id, date, 'home' AS side, home AS club FROM matches
-  UNION SELECT DISTINCT match_id, date, 'away', away FROM matches),
-r AS (
-  SELECT e.match_id, e.side, w.match_id AS prior_id, w.f AS prior_fthg, w.a AS prior_ftag,
-         row_number() OVER (PARTITION BY e.match_id, e.side
-                            ORDER BY w.date DESC, w.match_id DESC, w.recorded_at DESC, w.f DESC, w.a DESC) AS n
-  FROM e JOIN w ON e.club = w.club AND w.date < e.date AND epoch_us(w.recorded_at) < epoch_us(CAST(e.date AS TIMESTAMP)))
-SELECT match_id, side, prior_id, prior_fthg, prior_ftag FROM r WHERE n = 1""",
-}
+ORACLE = core_sql.ORACLE
