@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 17  # 2^17 days: 358 years from the epoch
+LEVELS = 17  # at most; 2^17 days are 358 years
 HORIZON = 1 << LEVELS
 SALT_FROM = 6  # up to 2^6 days a node meets the events of 2^6 days only
 HOT = 200_000  # events of one entity beyond which they are spread
@@ -37,8 +37,8 @@ def validity(versions: DataFrame, entity: str, rank: list[str], known: str, bloc
     return x.where(F.col("until") > F.col(known)).drop("_b", "_bb", "_e", "_in", "_after")
 
 
-def nodes(since: Column, until: Column) -> Column:
-    """The canonical dyadic cover of [since, until): array of (level, node), at most two per level."""
+def nodes(since: Column, until: Column, levels: int = LEVELS) -> Column:
+    """The canonical dyadic cover of [since, until) within [0, 2^levels): array of (level, node), at most two per level."""
 
     def level(k: Column) -> Column:
         size = F.pow(F.lit(2), k).cast("int")
@@ -50,7 +50,7 @@ def nodes(since: Column, until: Column) -> Column:
             F.when(live & (hi % 2 == 1), F.struct(k.alias("level"), (hi - 1).alias("node"))),
         )
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level)))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), level)))
 
 
 def as_known(events: DataFrame, versions: DataFrame, entity: str, day: str, event_key: list[str], since: str, until: str, payload: list[str], hot: int = HOT) -> DataFrame:
@@ -64,16 +64,20 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, day: str, even
     row per `hot` events at most, which bounds what is broadcast); their nodes of level k > 6 are repeated up to 2^(k-6) times and
     the events spread among the copies. An entity has at most one node of level k per 2^k days, so the copies stay few.
     """
+    # the days that occur set the axis: only levels up to their range are needed
+    lo, hi = events.agg(F.min(day), F.max(day)).first()
+    lo, hi = (0, 0) if lo is None else (lo, hi)
+    levels = max(1, (hi - lo).bit_length())
     counts = events.groupBy(F.col(entity).alias("_hot")).agg(F.count("*").alias("_n")).where((F.col("_n") > hot) & F.col("_hot").isNotNull())
     counts = F.broadcast(counts.select("_hot", F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
     copies = lambda level: F.greatest(F.lit(1), F.least(F.coalesce("_parts", F.lit(1)), F.pow(F.lit(2), F.greatest(F.lit(0), level - SALT_FROM)).cast("int")))
-    n = versions.select(F.col(entity).alias("_e"), F.col(since).alias("_since"), F.col(until).alias("_until"), *payload, F.explode(nodes(F.col(since), F.col(until))).alias("_n"))
+    n = versions.select(F.col(entity).alias("_e"), F.col(since).alias("_since"), F.col(until).alias("_until"), *payload, F.explode(nodes(F.greatest(F.col(since) - lo, F.lit(0)), F.least(F.col(until) - lo, F.lit(hi - lo + 1)), levels)).alias("_n"))
     n = n.select("_e", "_since", "_until", *payload, F.col("_n.level").alias("_l"), F.col("_n.node").alias("_node"))
     n = n.join(counts, F.col("_e") == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies(F.col("_l")) - 1)))
     n = n.drop("_hot", "_parts")
     e = events.join(counts, F.col(entity) == F.col("_hot"), "left")
-    e = e.select(*event_key, F.col(entity).alias("_ent"), F.col(day).alias("_day"), "_parts", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_lev"))
-    e = e.withColumn("_at", F.floor(F.col("_day") / F.pow(F.lit(2), F.col("_lev"))).cast("int"))
+    e = e.select(*event_key, F.col(entity).alias("_ent"), F.col(day).alias("_day"), "_parts", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_lev"))
+    e = e.withColumn("_at", F.floor((F.col("_day") - lo) / F.pow(F.lit(2), F.col("_lev"))).cast("int"))
     e = e.withColumn("_s", F.pmod(F.xxhash64(*event_key), copies(F.col("_lev"))).cast("int")).drop("_parts")
     on = [F.col("_ent") == F.col("_e"), F.col("_lev") == F.col("_l"), F.col("_at") == F.col("_node"), F.col("_s") == F.col("_salt")]
     x = e.join(n, reduce(lambda a, b: a & b, on))
