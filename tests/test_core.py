@@ -158,3 +158,14 @@ def test_latest_and_nearest(spark):
     assert x.count() == 4
     r = quotes.nearest_level(x, ["e"], "point", 4.5, "outcome", "price", ["Over", "Under"]).collect()
     assert [(y["level"], y["over"], y["under"]) for y in r] == [(4.0, 1.8, 2.0)]
+
+
+def test_coverage_settle_append(spark):
+    df = spark.createDataFrame([("m", "b1", "e1"), ("m", "b1", "e1"), ("m", "b2", "e2"), ("n", "b1", "e1")], "market string, book string, e string")
+    out = {r["market"]: (r["b1"], r["b2"], r["b3"]) for r in quotes.coverage(df, "market", "book", ["b1", "b2", "b3"], "e").collect()}
+    assert out == {"m": (1, 1, 0), "n": (1, 0, 0)}
+    a = spark.createDataFrame([("k", "h", 10), ("far", "h", 20), ("null", None, 10)], "k string, home string, d int")
+    b = spark.createDataFrame([("m2", "h", 11), ("m1", "h", 9), ("m0", "x", 10)], "match_id string, home string, d int")
+    got = quotes.settle(a, b, [("home", "home")], F.col("d"), F.col("d"), 1, ["k"], "match_id").collect()
+    assert [(r["k"], r["match_id"]) for r in got] == [("k", "m1")]
+    assert {r["k"] for r in quotes.append_new(a.where("k = 'k'"), a.union(a), ["k"]).collect()} == {"far", "null"}

@@ -44,17 +44,21 @@ def hypotheses(df: DataFrame, specs: dict[str, tuple[Column, list[str]]], keys:
     )
 
 
-def combinations(df: DataFrame, own: list[str], other: list[str], match: list[str], outcome: str, ref: str, block: str, prune: int, least: int) -> DataFrame:
+def combinations(df: DataFrame, own: list[str], other: list[str], match: list[str], outcome: str, ref: str, block: str, prune: int, least: int, canonical: bool = False, prefix: str = "adv_") -> DataFrame:
     """(combo, n, hits, ref, var, agree) of single conditions, pairs and triples (own x other x match), with at least `least` rows.
 
     Each row carries the conditions true of it; singles and pairs are counted first, and only pairs of own and other with `prune` rows
     go on to triples (a triple has no more rows than its pair). agree: blocks whose difference has the sign of the whole.
+    canonical: of own x other only the orientation whose own condition comes first or is the same, for outcomes that do
+    not tell the sides apart, so that no pair is tested twice as its mirror image; and no conditions of the other side alone.
     """
     true = lambda cols, tag: F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(f"{tag}:{c}")) for c in cols]))
     x = df.where(F.col(outcome).isNotNull() & F.col(ref).isNotNull()).select(F.col(outcome).cast("int").alias("hit"), F.col(ref).alias("ref"), F.col(block).alias("block"), true(own, "own").alias("s"), true(other, "other").alias("a"), true(match, "match").alias("m"))
     cross = lambda p, q: F.flatten(F.transform(p, lambda u: F.transform(q, lambda v: F.concat_ws("&", u, v))))
     upper = F.flatten(F.transform("s", lambda u: F.transform(F.filter("s", lambda v: v > u), lambda v: F.concat_ws("&", u, v))))
-    first = F.concat(F.col("s"), F.col("a"), F.col("m"), cross(F.col("s"), F.col("a")), cross(F.col("s"), F.col("m")), upper, cross(F.col("a"), F.col("m")))
+    name = lambda c: F.regexp_replace(c, f"^[a-z]+:({prefix})?", "")
+    facing = F.flatten(F.transform("s", lambda u: F.transform(F.filter("a", lambda v: name(u) <= name(v)), lambda v: F.concat_ws("&", u, v)))) if canonical else cross(F.col("s"), F.col("a"))
+    first = F.concat(F.col("s"), F.col("m"), facing, cross(F.col("s"), F.col("m")), upper, *([] if canonical else [F.col("a"), cross(F.col("a"), F.col("m"))]))
 
     def counted(rows: DataFrame) -> DataFrame:
         b = rows.groupBy("combo", "block").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.sum("ref").alias("ref"), F.sum(F.col("ref") * (1 - F.col("ref"))).alias("var"))
@@ -64,7 +68,7 @@ def combinations(df: DataFrame, own: list[str], other: list[str], match: list[st
 
     low = counted(x.select("hit", "ref", "block", F.explode(first).alias("combo")))
     pairs = low.where((F.col("n") >= prune) & F.col("combo").rlike(r"^own:[^&]+&other:[^&]+$")).select(F.col("combo").alias("pair"))
-    wide = x.where(F.size("m") > 0).select("hit", "ref", "block", "m", F.explode(cross(F.col("s"), F.col("a"))).alias("pair"))
+    wide = x.withColumn("f", facing).where(F.size("m") > 0).select("hit", "ref", "block", "m", F.explode(F.col("f")).alias("pair"))
     high = counted(wide.join(pairs, "pair").select("hit", "ref", "block", F.explode(F.transform("m", lambda u: F.concat_ws("&", F.col("pair"), u))).alias("combo")))
     return low.unionByName(high).where(F.col("n") >= least)
 

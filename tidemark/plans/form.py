@@ -234,6 +234,22 @@ def x2_search(spark, base):
     return c.select("combo", "n", "hits", r6(F.col("ref")).alias("ref"), "agree")
 
 
+def x5_search_canonical(spark, base):
+    """The same search without mirror images."""
+    x = pairs.blocks(_ref(_conditions(spark, base)), "season", 3, "block")
+    own = ["LONG_WINLESS", "WINNING", "SCORING", "LEAKING"]
+    c = evaluate.combinations(x, own, ["adv_" + o for o in own], ["AT_HOME", "CUP_TIE"], "over25", "ref", "block", 60, 30, canonical=True)
+    return c.select("combo", "n", "hits", r6(F.col("ref")).alias("ref"), "agree")
+
+
+def e10_rounds_since_safe(spark, base):
+    """For each side of a match, how many of its matches ago it became certain not to go down."""
+    z = table(spark, base, "leagues").select("league", "releg_spots").dropDuplicates(["league"])
+    t = standings.stakes(standings.grid(now(spark, base), ["league", "season"]), ["league", "season"], z, "league").select("league", "season", "match_id", "team", "surely_safe")
+    x = long(spark, base).select("match_id", "date", "side", "team", "league", "season").join(t, ["league", "season", "match_id", "team"])
+    return pit.first_since(x, ["league", "season", "team"], ORDER, F.col("surely_safe"), "since").select("match_id", "side", "since")
+
+
 def f12_proportional(spark, base):
     p = fair.proportional([F.col("psch"), F.col("pscd"), F.col("psca")])
     return now(spark, base).select("match_id", *[r6(c).alias(n) for c, n in zip(p, ("home_p", "draw_p", "away_p"))])
@@ -295,5 +311,5 @@ def x6_blocks(spark, base):
     return pairs.blocks(now(spark, base), "season", 3, "block").groupBy("season", "block").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (a17_dedupe, a8_surrogate_key, a10_price_coverage, b1_two_sided, b7_opponent_view, w1_streak_before, w2_rolling_prev, w3_lags, w9_rest_days, w11_venue_streak, w12_season_to_date, w16_offset_window, w17_season_end, w18_pair_last5, w19_same_host, w20_last_loser, w22_range_history, w23_record_vs_top, w24_first_since, e1_standings, e1_standings_strict, e7_stakes, l_outcomes, g1_base_rates, g2_hypotheses, g4_fdr, f12_proportional, f13_shin, f15_source_fallback, f17_wilson, f20_flat_return, b13_cells, g5_adjusted_reference, g13_metadata, g14_roster, x2_search, x6_blocks, s3_top_differences)}
+QUERIES = {f.__name__: f for f in (a17_dedupe, a8_surrogate_key, a10_price_coverage, b1_two_sided, b7_opponent_view, w1_streak_before, w2_rolling_prev, w3_lags, w9_rest_days, w11_venue_streak, w12_season_to_date, w16_offset_window, w17_season_end, w18_pair_last5, w19_same_host, w20_last_loser, w22_range_history, w23_record_vs_top, w24_first_since, e1_standings, e1_standings_strict, e7_stakes, l_outcomes, g1_base_rates, g2_hypotheses, g4_fdr, f12_proportional, f13_shin, f15_source_fallback, f17_wilson, f20_flat_return, b13_cells, g5_adjusted_reference, g13_metadata, g14_roster, e10_rounds_since_safe, x2_search, x5_search_canonical, x6_blocks, s3_top_differences)}
 ORACLE = form_sql.ORACLE

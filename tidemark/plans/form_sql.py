@@ -71,6 +71,8 @@ kb AS (SELECT combo, block, count(*) AS n, sum(hit) AS hits, sum(r) AS ref FROM
 kt AS (SELECT combo, sum(n) AS n, sum(hits) AS hits, sum(ref) AS ref FROM kb GROUP BY combo),
 kr AS (SELECT kt.combo, CAST(kt.n AS BIGINT) AS n, CAST(kt.hits AS BIGINT) AS hits, round(kt.ref, 6) AS ref,
   (SELECT count(*) FROM kb WHERE kb.combo = kt.combo AND kb.n >= 50 AND sign(round(kb.hits - kb.ref, 9)) = sign(round(kt.hits - kt.ref, 9)) AND sign(round(kt.hits - kt.ref, 9)) <> 0) AS agree FROM kt WHERE kt.n >= 30)"""
+_name = lambda k: k.split(":")[1].removeprefix("adv_")
+_canon = [k for k, *_ in [*_one, *_two, *_three] if not k.startswith("other:") and ("other:" not in k or _name(k.split("&")[0]) <= _name(k.split("&")[1]))]
 _MEET = M + ", p AS (SELECT *, least(home, away) AS pa, greatest(home, away) AS pb FROM m WHERE fthg IS NOT NULL AND ftag IS NOT NULL)"
 _BUCKET = lambda x: f"CASE WHEN {x} >= 0 AND {x} <= 0.2 THEN 0 WHEN {x} > 0.2 AND {x} <= 0.35 THEN 1 WHEN {x} > 0.35 AND {x} <= 0.5 THEN 2 WHEN {x} > 0.5 AND {x} <= 0.65 THEN 3 WHEN {x} > 0.65 AND {x} <= 0.8 THEN 4 WHEN {x} > 0.8 AND {x} <= 1 THEN 5 END"
 _PF = "(1/psch)/(1/psch+1/pscd+1/psca)"
@@ -106,10 +108,15 @@ LEFT JOIN (SELECT l.*, s.i FROM l JOIN s ON l.season = s.season) p ON p.team = t
 y AS (SELECT a.match_id, a.team, a.left_rounds, a.n_teams, a.releg_spots, count(*) FILTER (b.pts > a.most) AS out_of_reach, count(*) FILTER (b.most < a.pts) AS beaten, max(b.pts) FILTER (b.rank = 1) AS pts_first,
   max(b.pts) FILTER (b.rank = a.n_teams - a.releg_spots) AS pts_last_safe, max(b.pts) FILTER (b.rank = a.n_teams - a.releg_spots + 1) AS pts_first_down FROM z a JOIN z b ON a.match_id = b.match_id GROUP BY a.match_id, a.team, a.left_rounds, a.n_teams, a.releg_spots)
 SELECT match_id, team, left_rounds, out_of_reach, beaten, pts_first, pts_last_safe, pts_first_down, out_of_reach >= n_teams - releg_spots AS surely_down, beaten >= releg_spots AS surely_safe, out_of_reach >= 1 AS title_gone FROM y""",
+    "e10_rounds_since_safe": _grid(True) + LG.replace(M, "") + """, z AS (SELECT g.*, releg_spots, pts + 3 * (2 * (n_teams - 1) - played) AS most FROM g LEFT JOIN leagues l ON g.league = l.league),
+y AS (SELECT a.match_id, a.team, count(*) FILTER (b.most < a.pts) >= a.releg_spots AS safe FROM z a JOIN z b ON a.match_id = b.match_id GROUP BY a.match_id, a.team, a.releg_spots),
+x AS (SELECT lg.*, safe, row_number() OVER (PARTITION BY league, season, lg.team ORDER BY date, lg.match_id) AS i FROM lg JOIN y ON lg.match_id = y.match_id AND lg.team = y.team)
+SELECT match_id, side, i - min(CASE WHEN safe THEN i END) OVER (PARTITION BY league, season, team ORDER BY date, match_id) AS since FROM x""",
     "l_outcomes": OC + " SELECT match_id, side, " + ", ".join(OUT) + " FROM oc",
     "g1_base_rates": OC + " " + " UNION ALL ".join(f"SELECT '{o}' AS outcome, league, season, side, round(avg(CAST({o} AS INT)), 6) AS base FROM oc GROUP BY league, season, side" for o in OUT),
     "g2_hypotheses": HYP + " SELECT * FROM hr",
     "x2_search": SEARCH + " SELECT combo, n, hits, ref, agree FROM kr",
+    "x5_search_canonical": SEARCH + " SELECT combo, n, hits, ref, agree FROM kr WHERE combo IN (" + ", ".join(f"'{k}'" for k in _canon) + ")",
     "s3_top_differences": SEARCH + " SELECT combo, n, round(hits / n - ref / n, 6) AS delta FROM kr ORDER BY abs(round(hits / n - ref / n, 6)) DESC, combo LIMIT 20",
     "f12_proportional": M + f" SELECT match_id, round(CASE WHEN {_OK} THEN {_PF} END, 6) AS home_p, round(CASE WHEN {_OK} THEN (1/pscd)/(1/psch+1/pscd+1/psca) END, 6) AS draw_p, round(CASE WHEN {_OK} THEN (1/psca)/(1/psch+1/pscd+1/psca) END, 6) AS away_p FROM m",
     "f15_source_fallback": M + f", s AS (SELECT *, coalesce({_OK}, false) AS c1, coalesce(psh > 1 AND psd > 1 AND psa > 1, false) AS c2 FROM m) SELECT match_id, CASE WHEN c1 THEN psch WHEN c2 THEN psh END AS a, CASE WHEN c1 THEN pscd WHEN c2 THEN psd END AS b, CASE WHEN c1 THEN psca WHEN c2 THEN psa END AS c, CASE WHEN c1 THEN true WHEN c2 THEN false END AS closing FROM s",

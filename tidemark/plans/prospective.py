@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fair
@@ -34,7 +35,7 @@ def c13_nearest_line(spark, base):
 def c10_fuzzy_names(spark, base):
     """The feed's names linked to the clubs of the league by shared words."""
     leagues = table(spark, base, "leagues").select("sport_key", "league")
-    n = table(spark, base, "api_events").join(F.broadcast(leagues), "sport_key").select("league", F.explode(F.array("home_team", "away_team")).alias("name"))
+    n = table(spark, base, "api_events").join(leagues, "sport_key").select("league", F.explode(F.array("home_team", "away_team")).alias("name"))
     return fuzzy.link(n, table(spark, base, "clubs").select("league", "club"), "league", "name", "club").select("league", "name", "club", r6(F.col("score")).alias("score"))
 
 
@@ -42,7 +43,7 @@ def c9_composite_key(spark, base):
     """Events whose league and plain names both occur among the clubs, and those that do not, by league."""
     leagues = table(spark, base, "leagues").select("sport_key", "league")
     plain = lambda c: F.lower(F.btrim(c))
-    e = table(spark, base, "api_events").select("event_id", "sport_key", plain(F.col("home_team")).alias("h"), plain(F.col("away_team")).alias("a")).distinct().join(F.broadcast(leagues), "sport_key")
+    e = table(spark, base, "api_events").select("event_id", "sport_key", plain(F.col("home_team")).alias("h"), plain(F.col("away_team")).alias("a")).distinct().join(leagues, "sport_key")
     c = table(spark, base, "clubs").select("league", plain(F.col("club")).alias("k")).distinct()
     x = e.join(c.select("league", F.col("k").alias("h"), F.lit(1).alias("hh")), ["league", "h"], "left").join(c.select("league", F.col("k").alias("a"), F.lit(1).alias("aa")), ["league", "a"], "left")
     both = F.col("hh").isNotNull() & F.col("aa").isNotNull()
@@ -99,8 +100,6 @@ def f24_budget(spark, base):
     s = table(spark, base, "odds_archive").select("event_id", "snapshot_ts").distinct().groupBy("event_id").agg(F.count("*").alias("shots"))
     # the cost before an event is summed per first two characters of the id, then over these 256 groups
     s = s.withColumn("g", F.substring("event_id", 1, 2))
-    from pyspark.sql import Window
-
     within = F.sum("shots").over(Window.partitionBy("g").orderBy("event_id"))
     groups = s.groupBy("g").agg(F.sum("shots").alias("t"))
     before = groups.select("g", F.coalesce(F.sum("t").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
