@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import checked_broadcast
+
 # Closing lines that are complete without a terminal.
 NOTES = (
     "to be continued", "more follows", "more to follow", "à suivre", "suite demain", "la suite demain", "continuará", "sigue mañana",
@@ -68,13 +70,14 @@ def ends(docs: DataFrame, text: str, source: str) -> DataFrame:
     x = docs.withColumn("_t", F.regexp_replace(t, r"(?:\s|</[a-zA-Z]+>|<br ?/?>)+$", ""))
     x = x.withColumn("_line", F.substring_index("_t", "\n", -1)).withColumn("_shape", _shape(F.col("_line")))
     shapes = line_shapes(docs, text).select(F.col("shape").alias("_known"))
-    x = x.join(shapes, F.col("_shape") == F.col("_known"), "left")
-    lim = limits(docs, text, source)
+    # texts without a shape get keys of their own, so that they spread where the join is shuffled
+    x = x.join(checked_broadcast(shapes), F.coalesce("_shape", F.concat(F.lit("?"), F.xxhash64(t).cast("string"))) == F.col("_known"), "left")
+    lim = checked_broadcast(limits(docs, text, source))
     for unit, length in (("chars", F.length(t)), ("bytes", F.octet_length(t))):
         # a limit in bytes can fall within a character, which is then dropped or replaced
         slack = F.array(F.lit(0)) if unit == "chars" else F.array(*[F.lit(i) for i in range(3)])
         u = lim.where(F.col("unit") == unit).select(F.col("source").alias(f"_s_{unit}"), F.explode(F.transform(slack, lambda i: F.col("length") - i)).alias(f"_l_{unit}")).distinct()
-        x = x.join(u, F.col(f"`{source}`").eqNullSafe(F.col(f"_s_{unit}")) & (length == F.col(f"_l_{unit}")), "left")
+        x = x.join(checked_broadcast(u), F.col(f"`{source}`").eqNullSafe(F.col(f"_s_{unit}")) & (length == F.col(f"_l_{unit}")), "left")
     at_limit = F.col("_l_chars").isNotNull() | F.col("_l_bytes").isNotNull()
     line = F.btrim("_line")
     low = F.lower(line)
