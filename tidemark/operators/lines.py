@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 # Days that exist, as d/m/yy, d/m/yyyy or yyyy-mm-dd. In two digits 00 is 2000, a leap year, so every fourth is one.
 _LEAP4 = r"(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
 _LEAP2 = r"(?:[02468][048]|[13579][26])"
@@ -76,10 +78,15 @@ def _patterns(header: Column, sep: Column, fields: tuple[Field, ...]) -> Column:
     return F.transform(header, one)
 
 
-def schemas(lines: DataFrame, fields: tuple[Field, ...] = FIXTURE_FIELDS, file: str = "source_file", line_no: str = "line_no", text: str = "raw_line") -> DataFrame:
-    """(file, names, sep, whole, prefixes, usable) from line 1 of each file; repeated header lines give one row."""
+def headers(lines: DataFrame, file: str = "source_file", line_no: str = "line_no", text: str = "raw_line") -> DataFrame:
+    """(_file, _h): line 1 of each file without byte order mark; repeated header lines give one row."""
     h = lines.where(F.col(line_no) == 1).groupBy(F.col(file).alias("_file")).agg(F.min(text).alias("_h"))
-    h = h.withColumn("_h", F.regexp_replace(F.coalesce("_h", F.lit("")), "^﻿|[\r\n]+$", ""))
+    return h.withColumn("_h", F.regexp_replace(F.coalesce("_h", F.lit("")), "^\ufeff|[\r\n]+$", ""))
+
+
+def schemas(heads: DataFrame, fields: tuple[Field, ...] = FIXTURE_FIELDS) -> DataFrame:
+    """(_schema, names, sep, usable, whole, prefixes) for each distinct header text."""
+    h = heads.select("_h").distinct()
     count = lambda s: F.length("_h") - F.length(F.replace("_h", F.lit(s), F.lit("")))
     seps = [",", ";", "\t", "|"]
     best = F.greatest(*[F.struct(count(s).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(seps)])
@@ -94,7 +101,7 @@ def schemas(lines: DataFrame, fields: tuple[Field, ...] = FIXTURE_FIELDS, file:
     glue = lambda part: F.aggregate(F.slice(part, 2, F.size(part)), part[0], lambda acc, x: F.concat(acc, esc, x))
     prefix = lambda k: F.concat(F.lit("^"), glue(F.slice("_p", 1, k)), F.lit("(?:"), esc, F.lit(r"|\r?$)"))
     return h.select(
-        "_file", "names", "sep", "usable",
+        F.col("_h").alias("_schema"), "names", "sep", "usable",
         F.concat(F.lit("^"), glue(F.col("_p")), F.lit(r"\r?$")).alias("whole"),
         F.transform(F.sequence(F.lit(1), F.size("_p")), prefix).alias("prefixes"),
     )
@@ -108,14 +115,22 @@ def parse(lines: DataFrame, fields: tuple[Field, ...] = FIXTURE_FIELDS, file: st
     are matched whole; possessive patterns keep that linear. Repeated rows are each reported. Columns that the
     input has besides the three are kept; those with the names of the results are replaced.
 
-    A file may hold a large part of all lines: lines are salted, and the one header row per file is repeated
-    for each salt.
+    A file may hold a large part of all lines: lines are salted, and the one header row per file is repeated for each salt.
+    The patterns are built once per distinct header; up to 1,000 of these (some 20 KB each) are broadcast, more are joined by salt too.
     """
     names = ["valid", "reason", "broken_field", "field_no", *[f.name for f in fields]]
     keep = [F.col(f"`{c}`") for c in lines.columns if c.lower() not in {n.lower() for n in names}]
-    head = schemas(lines, fields, file, line_no, text).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    heads = headers(lines, file, line_no, text)
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     body = lines.where(F.coalesce(F.col(line_no) > 1, F.lit(True))).select(*keep, F.pmod(F.hash(line_no, text), F.lit(salts)).alias("_s"), F.col(file).alias("_f"))
-    x = body.join(head, (body["_f"].eqNullSafe(head["_file"])) & (body["_s"] == head["_salt"]), "left")
+    salted = heads.withColumn("_salt", every)
+    x = body.join(salted, (body["_f"].eqNullSafe(salted["_file"])) & (body["_s"] == salted["_salt"]), "left").drop("_salt")
+    known = cut_lineage(schemas(heads, fields))
+    if known.count() <= 1000:
+        x = x.join(F.broadcast(known), F.col("_h") == F.col("_schema"), "left")
+    else:
+        known = known.withColumn("_salt", every)
+        x = x.join(known, (F.col("_h") == F.col("_schema")) & (F.col("_s") == F.col("_salt")), "left")
     # regexp_extract keeps the compiled pattern while it stays the same, rlike on a column compiles per row
     ok = F.coalesce(F.col("usable"), F.lit(False)) & F.col(text).isNotNull()
     x = x.withColumn("valid", F.when(ok, F.length(F.regexp_replace(text, F.col("whole"), "")) == 0).otherwise(False) & (F.length(F.coalesce(F.col(text), F.lit(""))) > 0))
