@@ -25,21 +25,23 @@ def shin(prices: list[Column], steps: int = 100) -> Column:
 
     Two outcomes, or prices without a margin, are scaled proportionally. Null unless all prices are above 1.
     """
-    q = F.array(*[1 / p for p in prices])
-    total = F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
     n = len(prices)
-    plain = F.transform(q, lambda x: x / total)
-    if n == 2:
-        return F.when(usable(prices), plain)
-    root = lambda z, x: F.sqrt(z * z + 4 * (1 - z) * x * x / total)
-
-    def step(acc: Column, _: Column) -> Column:
-        z = acc["z"]
-        new = (F.aggregate(q, F.lit(0.0), lambda a, x: a + root(z, x)) - 2) / (n - 2)
-        # the share stays where it last moved by less than 1e-12
-        return F.when(acc["done"], acc).otherwise(F.struct(F.least(F.lit(0.99), F.greatest(F.lit(0.0), new)).alias("z"), (F.abs(new - z) < 1e-12).alias("done")))
-
-    z = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("z"), F.lit(False).alias("done")), step)["z"]
-    raw = F.transform(F.array(z), lambda s: F.transform(q, lambda x: F.greatest(F.lit(1e-9), (root(s, x) - s) / (2 * (1 - s)))))[0]
-    scaled = F.transform(F.array(raw), lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda a, y: a + y)))[0]
-    return F.when(usable(prices), F.when(total <= 1, plain).otherwise(scaled))
+    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  evaluated once
+    total_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    scaled = lambda xs: let(total_of(xs), lambda t: F.transform(xs, lambda x: x / t))
+
+    def fitted(q: Column) -> Column:
+        def with_squares(sq: Column) -> Column:  # x^2 / total, all that the root needs
+            root = lambda z, s: F.sqrt(z * z + 4 * (1 - z) * s)
+
+            def step(acc: Column, _: Column) -> Column:
+                move = let((F.aggregate(sq, F.lit(0.0), lambda a, s: a + root(acc["z"], s)) - 2) / (n - 2), lambda new: F.struct(F.least(F.lit(0.99), F.greatest(F.lit(0.0), new)).alias("z"), (F.abs(new - acc["z"]) < 1e-12).alias("done")))
+                return F.when(acc["done"], acc).otherwise(move)
+
+            z = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("z"), F.lit(False).alias("done")), step)["z"]
+            return scaled(let(z, lambda v: F.transform(sq, lambda s: F.greatest(F.lit(1e-9), (root(v, s) - v) / (2 * (1 - v))))))
+
+        return let(total_of(q), lambda t: F.when(t <= 1, F.transform(q, lambda x: x / t)).otherwise(let(F.transform(q, lambda x: x * x / t), with_squares)))
+
+    q = F.array(*[1 / p for p in prices])
+    return F.when(usable(prices), scaled(q) if n == 2 else let(q, fitted))

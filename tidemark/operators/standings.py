@@ -42,16 +42,19 @@ def stakes(table: DataFrame, group: list[str], zones: DataFrame, zone_key: str,
     w = Window.partitionBy(*group, match_id)
     x = table.join(zones, zone_key, "left").withColumn("left_rounds", 2 * (F.col("n_teams") - 1) - F.col("played"))
     x = x.withColumn("most", F.col("pts") + 3 * F.col("left_rounds"))
-    state = F.sort_array(F.collect_list(F.struct("pts", "most")).over(w))
-    x = x.withColumn("_state", state)
-    above = F.size(F.filter("_state", lambda s: s["pts"] > F.col("most")))
-    below = F.size(F.filter("_state", lambda s: s["most"] < F.col("pts")))
+    # teams by points held and by points still possible: far fewer values than teams
+    same = lambda c: F.count(F.lit(1)).over(Window.partitionBy(*group, match_id, c))
+    x = x.withColumn("_held", F.struct(F.col("pts").alias("v"), same("pts").alias("n"))).withColumn("_most", F.struct(F.col("most").alias("v"), same("most").alias("n")))
+    x = x.withColumn("_held", F.collect_set("_held").over(w)).withColumn("_most", F.collect_set("_most").over(w))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
+    above = total(F.filter("_held", lambda s: s["v"] > F.col("most")))
+    below = total(F.filter("_most", lambda s: s["v"] < F.col("pts")))
     at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("pts"))).over(w)
     x = x.select(
-        "*", above.cast("long").alias("out_of_reach"), below.cast("long").alias("beaten"), at(F.lit(1)).alias("pts_first"),
+        "*", above.alias("out_of_reach"), below.alias("beaten"), at(F.lit(1)).alias("pts_first"),
         at(F.col("n_teams") - F.col("releg_spots")).alias("pts_last_safe"), at(F.col("n_teams") - F.col("releg_spots") + 1).alias("pts_first_down"),
     )
-    return x.drop("_state").select(
+    return x.drop("_held", "_most").select(
         "*",
         (F.col("out_of_reach") >= F.col("n_teams") - F.col("releg_spots")).alias("surely_down"),
         (F.col("beaten") >= F.col("releg_spots")).alias("surely_safe"),
