@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fair
-from tidemark.operators import fuzzy, quotes
+from tidemark.operators import fuzzy, instants, quotes
 from tidemark.plans.form import now, r6
 from tidemark.session import table
 from tidemark.sources import feeds
@@ -15,9 +15,21 @@ from tidemark.streaming import streams
 PRICE_KEYS = ["event_id", "market", "bookmaker", "description"]
 
 
+def _moments(spark, base, o):
+    """o with `moment`, the instant of snapshot_ts in microseconds; null where the text fixes none. Each distinct text is parsed once."""
+    leagues = table(spark, base, "leagues").select("sport_key", "tz").dropDuplicates(["sport_key"])
+    # distinct zone names: at most the IANA list
+    zones = [r[0] for r in leagues.select("tz").where("tz is not null").distinct().collect()]
+    t = o.select("sport_key", F.col("snapshot_ts").alias("_raw")).where("_raw is not null").distinct().join(leagues, "sport_key", "left")
+    t = instants.normalise(t, "_raw", "tz", instants.zone_intervals(spark, zones)).select(F.col("sport_key").alias("_key"), "_raw", F.col("utc_us").alias("moment"))
+    return o.join(t, F.col("sport_key").eqNullSafe(F.col("_key")) & (F.col("snapshot_ts") == F.col("_raw")), "left").drop("_key", "_raw")
+
+
 def _latest(spark, base):
-    o = table(spark, base, "odds_archive").where("price is not null")
-    return quotes.latest(o, PRICE_KEYS, (F.col("phase") == "CLOSE").cast("int"), F.col("snapshot_ts"), ["outcome", "point", "price"])
+    o = _moments(spark, base, table(spark, base, "odds_archive").where("price is not null"))
+    # texts without an instant come before all others, in their own order
+    at = F.struct("moment", F.when(F.col("moment").isNull(), F.col("snapshot_ts")).alias("text"))
+    return quotes.latest(o, PRICE_KEYS, (F.col("phase") == "CLOSE").cast("int"), at, ["outcome", "point", "price"])
 
 
 def c12_latest_snapshot(spark, base):
@@ -63,8 +75,11 @@ def c14_anti_join(spark, base):
 
 
 def g9_event_table(spark, base):
-    first = F.min(F.struct("snapshot_ts", "sport_key", "commence_time", "home", "away")).alias("f")
-    return table(spark, base, "odds_archive").groupBy("event_id").agg(first).select("event_id", "f.sport_key", "f.commence_time", "f.home", "f.away")
+    """Per event what its first snapshot says; texts without an instant come after all others, in their own order."""
+    unread = F.col("moment").isNull()
+    first = F.min(F.struct(unread.alias("unread"), "moment", F.when(unread, F.col("snapshot_ts")).alias("text"), "sport_key", "commence_time", "home", "away")).alias("f")
+    o = table(spark, base, "odds_archive").select("snapshot_ts", "event_id", "sport_key", "commence_time", "home", "away").distinct()
+    return _moments(spark, base, o).groupBy("event_id").agg(first).select("event_id", "f.sport_key", "f.commence_time", "f.home", "f.away")
 
 
 def _journal(spark, base):
