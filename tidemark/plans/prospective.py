@@ -44,11 +44,17 @@ def c13_nearest_line(spark, base):
     return y.select("event_id", "bookmaker", "level", "over", "under", r6(fair.proportional([F.col("over"), F.col("under")])[0]).alias("fair_over"))
 
 
+def _roster(spark, base):
+    """(league, club); the cup's roster is all clubs."""
+    c = table(spark, base, "clubs").select("league", "club")
+    return c.unionByName(c.select(F.lit("CUP").alias("league"), "club")).distinct()
+
+
 def c10_fuzzy_names(spark, base):
     """The feed's names linked to the clubs of the league by shared words."""
     leagues = table(spark, base, "leagues").select("sport_key", "league")
     n = table(spark, base, "api_events").join(leagues, "sport_key").select("league", F.explode(F.array("home_team", "away_team")).alias("name"))
-    return fuzzy.link(n, table(spark, base, "clubs").select("league", "club"), "league", "name", "club").select("league", "name", "club", r6(F.col("score")).alias("score"))
+    return fuzzy.link(n, _roster(spark, base), "league", "name", "club").select("league", "name", "club", r6(F.col("score")).alias("score"))
 
 
 def c9_composite_key(spark, base):
@@ -56,7 +62,7 @@ def c9_composite_key(spark, base):
     leagues = table(spark, base, "leagues").select("sport_key", "league")
     plain = lambda c: F.lower(F.btrim(c))
     e = table(spark, base, "api_events").select("event_id", "sport_key", plain(F.col("home_team")).alias("h"), plain(F.col("away_team")).alias("a")).distinct().join(leagues, "sport_key")
-    c = table(spark, base, "clubs").select("league", plain(F.col("club")).alias("k")).distinct()
+    c = _roster(spark, base).select("league", plain(F.col("club")).alias("k")).distinct()
     x = e.join(c.select("league", F.col("k").alias("h"), F.lit(1).alias("hh")), ["league", "h"], "left").join(c.select("league", F.col("k").alias("a"), F.lit(1).alias("aa")), ["league", "a"], "left")
     both = F.col("hh").isNotNull() & F.col("aa").isNotNull()
     return x.groupBy("league").agg(F.count_if(both).alias("matched"), F.count_if(~both).alias("unmatched"))
