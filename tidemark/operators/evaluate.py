@@ -44,33 +44,47 @@ def hypotheses(df: DataFrame, specs: dict[str, tuple[Column, list[str]]], keys:
     )
 
 
-def combinations(df: DataFrame, own: list[str], other: list[str], match: list[str], outcome: str, ref: str, block: str, prune: int, least: int, canonical: bool = False, prefix: str = "adv_") -> DataFrame:
+def combinations(df: DataFrame, own: list[str], other: list[str], match: list[str], outcome: str | list[str], ref: str | list[str], block: str, prune: int, least: int, canonical: bool = False, prefix: str = "adv_") -> DataFrame:
     """(combo, n, hits, ref, var, agree) of single conditions, pairs and triples (own x other x match), with at least `least` rows.
 
+    outcome, ref: one column each, or as many refs as outcomes: then all outcomes of a combination are counted in the same
+    aggregation, and a column `outcome` says which a row is about. Rows where an outcome or its ref is null do not count for it.
     Each row carries the conditions true of it; singles and pairs are counted first, and only pairs of own and other with `prune` rows
-    go on to triples (a triple has no more rows than its pair). agree: blocks whose difference has the sign of the whole.
+    go on to triples (a triple has no more rows than its pair: with prune <= least none is lost). agree: blocks whose difference
+    has the sign of the whole.
     canonical: of own x other only the orientation whose own condition comes first or is the same, for outcomes that do
     not tell the sides apart, so that no pair is tested twice as its mirror image; and no conditions of the other side alone.
     """
+    outcomes, refs = ([outcome], [ref]) if isinstance(outcome, str) else (outcome, ref)
     true = lambda cols, tag: F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(f"{tag}:{c}")) for c in cols]))
-    x = df.where(F.col(outcome).isNotNull() & F.col(ref).isNotNull()).select(F.col(outcome).cast("int").alias("hit"), F.col(ref).alias("ref"), F.col(block).alias("block"), true(own, "own").alias("s"), true(other, "other").alias("a"), true(match, "match").alias("m"))
+    seen = lambda o, r: F.col(o).isNotNull() & F.col(r).isNotNull()
+    some = reduce(lambda p, q: p | q, [seen(o, r) for o, r in zip(outcomes, refs, strict=True)])
+    numbers = [c for i, (o, r) in enumerate(zip(outcomes, refs)) for c in (F.when(seen(o, r), F.col(o).cast("int")).alias(f"_h{i}"), F.when(seen(o, r), F.col(r)).alias(f"_r{i}"))]
+    kept = [f"_{k}{i}" for i in range(len(outcomes)) for k in "hr"] + ["block"]
+    x = df.where(some).select(*numbers, F.col(block).alias("block"), true(own, "own").alias("s"), true(other, "other").alias("a"), true(match, "match").alias("m"))
     cross = lambda p, q: F.flatten(F.transform(p, lambda u: F.transform(q, lambda v: F.concat_ws("&", u, v))))
     upper = F.flatten(F.transform("s", lambda u: F.transform(F.filter("s", lambda v: v > u), lambda v: F.concat_ws("&", u, v))))
     name = lambda c: F.regexp_replace(c, f"^[a-z]+:({prefix})?", "")
     facing = F.flatten(F.transform("s", lambda u: F.transform(F.filter("a", lambda v: name(u) <= name(v)), lambda v: F.concat_ws("&", u, v)))) if canonical else cross(F.col("s"), F.col("a"))
     first = F.concat(F.col("s"), F.col("m"), facing, cross(F.col("s"), F.col("m")), upper, *([] if canonical else [F.col("a"), cross(F.col("a"), F.col("m"))]))
 
-    def counted(rows: DataFrame) -> DataFrame:
-        b = rows.groupBy("combo", "block").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.sum("ref").alias("ref"), F.sum(F.col("ref") * (1 - F.col("ref"))).alias("var"))
-        t = b.groupBy("combo").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("ref").alias("ref"), F.sum("var").alias("var"), F.collect_list(F.when(F.col("n") >= 50, F.signum(F.round(F.col("hits") - F.col("ref"), 9)))).alias("_signs"))
+    def blocks(rows: DataFrame) -> DataFrame:
+        sums = lambda i: (F.count(f"_r{i}").alias(f"n{i}"), F.sum(f"_h{i}").alias(f"h{i}"), F.sum(f"_r{i}").alias(f"r{i}"), F.sum(F.col(f"_r{i}") * (1 - F.col(f"_r{i}"))).alias(f"v{i}"))
+        return rows.groupBy("combo", "block").agg(F.count("*").alias("rows"), *[c for i in range(len(outcomes)) for c in sums(i)])
+
+    def counted(b: DataFrame) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(o).alias("outcome"), *[F.col(f"{k[0]}{i}").alias(k) for k in ("n", "hits", "ref", "var")]) for i, o in enumerate(outcomes)])
+        b = b.select("combo", F.inline(each.cast("array<struct<outcome:string,n:bigint,hits:bigint,ref:double,var:double>>"))).where("n > 0")
+        t = b.groupBy("combo", "outcome").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("ref").alias("ref"), F.sum("var").alias("var"), F.collect_list(F.when(F.col("n") >= 50, F.signum(F.round(F.col("hits") - F.col("ref"), 9)))).alias("_signs"))
         whole = F.signum(F.round(F.col("hits") - F.col("ref"), 9))
         return t.withColumn("agree", F.size(F.filter("_signs", lambda s: (s == whole) & (s != 0))).cast("long")).drop("_signs")
 
-    low = counted(x.select("hit", "ref", "block", F.explode(first).alias("combo")))
-    pairs = low.where((F.col("n") >= prune) & F.col("combo").rlike(r"^own:[^&]+&other:[^&]+$")).select(F.col("combo").alias("pair"))
-    wide = x.withColumn("f", facing).where(F.size("m") > 0).select("hit", "ref", "block", "m", F.explode(F.col("f")).alias("pair"))
-    high = counted(wide.join(pairs, "pair").select("hit", "ref", "block", F.explode(F.transform("m", lambda u: F.concat_ws("&", F.col("pair"), u))).alias("combo")))
-    return low.unionByName(high).where(F.col("n") >= least)
+    low = blocks(x.select(*kept, F.explode(first).alias("combo")))
+    pairs = low.where(F.col("combo").rlike(r"^own:[^&]+&other:[^&]+$")).groupBy(F.col("combo").alias("pair")).agg(F.sum("rows").alias("rows")).where(F.col("rows") >= prune).select("pair")
+    wide = x.withColumn("f", facing).where(F.size("m") > 0).select(*kept, "m", F.explode(F.col("f")).alias("pair"))
+    high = blocks(wide.join(pairs, "pair").select(*kept, F.explode(F.transform("m", lambda u: F.concat_ws("&", F.col("pair"), u))).alias("combo")))
+    out = counted(low.unionByName(high)).where(F.col("n") >= least)
+    return out.drop("outcome") if isinstance(outcome, str) else out
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: float, name: str = "fdr") -> DataFrame:

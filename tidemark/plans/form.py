@@ -242,6 +242,84 @@ def x5_search_canonical(spark, base):
     return c.select("combo", "n", "hits", r6(F.col("ref")).alias("ref"), "agree")
 
 
+OWN = [
+    "WON_RUN", "WON_RUN_WIDE", "WINLESS_RUN", "DRAWN_RUN", "BLUNT", "PROLIFIC", "LEAKY", "REVIVED", "AFTER_HEAVY_LOSS", "AFTER_WIDE_WIN", "AFTER_UPSET",
+    "STRONG_FIRST_HALF", "LEAKY_FIRST_HALF", "TIGHT_FIRST_HALF", "STRONG_SECOND_HALF", "HALF_OVER15_OFTEN", "HALF_NONE_OFTEN", "OVER35_OFTEN", "UNDER15_OFTEN", "CARDED",
+    "FORTRESS", "WEAK_AT_HOME", "TRAVELS_WELL", "WEAK_AWAY", "SHUT_AT_HOME", "SHORT_REST", "LONG_REST", "STRONG_FINISHES", "SOFT_TO_TOP", "BEATS_BOTTOM", "FAVOURITE", "OUTSIDER", "HOST", "GUEST",
+]
+MATCH = ["STRICT_REFEREE", "H2H_BOTH", "H2H_UNDER", "CUP_TIE"]
+NEUTRAL = ["over25", "under25", "over35", "under15", "both_score", "half_over05", "half_over15", "half_none", "cards_over45"]
+
+
+def _atoms(spark, base):
+    """Every side of a match with all outcomes, their rates in the league, season and venue (`ref_*`), and the conditions OWN, their mirror images and MATCH; null counts as false."""
+    x, ind = _outcomes(spark, base), lambda c: c.cast("int")
+    for name, flag in (("won", F.col("win")), ("winless", ~F.col("win")), ("drawn", F.col("draw")), ("goalless", F.coalesce(F.col("gf") == 0, F.lit(False)))):
+        x = pit.streak_before(x, TEAM, ORDER, flag, name)
+    roll = lambda x, width, cols: pit.rolling_prev(x, TEAM, ORDER, cols, width)
+    half, late = F.col("ht_gf") + F.col("ht_ga"), F.col("gf") - F.col("ht_gf")
+    x = roll(x, 3, {"won_l3": (ind(F.col("win")), "sum")})
+    x = roll(x, 5, {"gf_l5": (F.col("gf"), "avg"), "ga_l5": (F.col("ga"), "avg"), "ga2_l5": (ind(F.col("ga") >= 2), "sum"), "cards_l5": (F.col("cards"), "avg"), "ht_ga_l5": (F.col("ht_ga"), "sum")})
+    x = roll(x, 4, {
+        "ht_for": (ind(F.col("ht_gf") > 0), "sum"), "ht_gf_l4": (F.col("ht_gf"), "avg"), "ht_against": (ind(F.col("ht_ga") > 0), "sum"), "ht_ga_l4": (F.col("ht_ga"), "avg"), "late_for": (ind(late > 0), "sum"), "late_diff": (late - (F.col("ga") - F.col("ht_ga")), "avg"),
+        "h15_l4": (ind(half >= 2), "sum"), "h0_l4": (ind(half == 0), "sum"), "o35_l4": (ind(F.col("total") >= 4), "sum"), "u15_l4": (ind(F.col("total") <= 1), "sum"),
+    })
+    x = pit.lagged(pit.lagged(x, TEAM, ORDER, "margin", [1, 2, 3]), TEAM, ORDER, "price", [1])
+    w = pit.over(TEAM, ORDER)
+    x = x.select("*", F.lag("winless", 3).over(w).alias("winless_m3"), F.datediff("date", F.lag("date").over(w)).alias("rest"))
+    at_venue = ["team", "side"]
+    x = pit.streak_before(pit.streak_before(x, at_venue, ORDER, F.col("win"), "v_won"), at_venue, ORDER, ~F.col("win"), "v_winless")
+    x = pit.rolling_prev(x, at_venue, ORDER, {"v_ga": (F.col("ga"), "avg"), "v_clean": (ind(F.col("ga") == 0), "sum")}, 10)
+    x = pit.to_date(x, [*at_venue, "season"], ORDER, ind(F.col("win")), "v")
+    # ranks of the opponent then, for the records against the top half and the bottom third
+    t = standings.grid(now(spark, base), ["league", "season"], strict=False).select("match_id", F.col("team").alias("opp"), (F.col("rank") <= F.floor(F.col("n_teams") / 2)).alias("top"), (F.col("rank") > F.col("n_teams") - F.greatest(F.lit(1), F.floor(F.col("n_teams") / 3))).alias("bottom"))
+    past = pit.over(["team", "season"], ORDER).rowsBetween(*pit.PAST)
+    played = F.col("gf").isNotNull()
+    x = x.join(t, ["match_id", "opp"], "left")
+    total = lambda c: F.sum(ind(F.coalesce(c, F.lit(False)))).over(past)
+    x = x.select("*", total(F.col("top") & played).alias("top_n"), total(F.col("top") & played & (F.col("win") | F.col("draw"))).alias("top_taken"), total(F.col("bottom") & played).alias("low_n"), total(F.col("bottom") & played & F.col("win")).alias("low_won"))
+    x = x.join(w17_season_end(spark, base).select("team", "season", "strong"), ["team", "season"], "left")
+    x = x.join(w18_pair_last5(spark, base).select("match_id", F.col("n").alias("met"), "both", "under"), "match_id", "left").join(w22_range_history(spark, base), "match_id", "left")
+    home, guest = F.col("side") == "home", F.col("side") == "away"
+    m = [F.col(f"margin_m{i}") for i in (1, 2, 3)]
+    flags = {
+        "WON_RUN": F.col("won") >= 3, "WON_RUN_WIDE": (F.col("won") >= 4) & ((m[0] + m[1] + m[2]) / 3 >= 1.5), "WINLESS_RUN": F.col("winless") >= 4, "DRAWN_RUN": F.col("drawn") >= 3,
+        "BLUNT": (F.col("gf_l5") <= 0.5) | (F.col("goalless") >= 3), "PROLIFIC": F.col("gf_l5") >= 2, "LEAKY": (F.col("ga_l5") >= 2) & (F.col("ga2_l5") >= 3), "REVIVED": (F.col("won_l3") >= 2) & (F.col("winless_m3") >= 4),
+        "AFTER_HEAVY_LOSS": m[0] <= -3, "AFTER_WIDE_WIN": m[0] >= 3, "AFTER_UPSET": (m[0] > 0) & (F.col("price_m1") >= 3),
+        "STRONG_FIRST_HALF": (F.col("ht_for") >= 3) & (F.col("ht_gf_l4") >= 0.9), "LEAKY_FIRST_HALF": (F.col("ht_against") >= 3) & (F.col("ht_ga_l4") >= 0.8), "TIGHT_FIRST_HALF": F.col("ht_ga_l5") <= 1, "STRONG_SECOND_HALF": (F.col("late_for") >= 3) & (F.col("late_diff") >= 0.5),
+        "HALF_OVER15_OFTEN": F.col("h15_l4") >= 3, "HALF_NONE_OFTEN": F.col("h0_l4") >= 3, "OVER35_OFTEN": F.col("o35_l4") >= 3, "UNDER15_OFTEN": F.col("u15_l4") >= 3, "CARDED": F.col("cards_l5") >= 2.5,
+        "FORTRESS": home & (F.col("v_mean") >= 0.7) & (F.col("v_n") >= 5) & (F.col("v_won") >= 3), "WEAK_AT_HOME": home & (F.col("v_winless") >= 4), "TRAVELS_WELL": guest & (F.col("v_mean") >= 0.6) & (F.col("v_n") >= 5) & (F.col("v_won") >= 2), "WEAK_AWAY": guest & (F.col("v_winless") >= 4),
+        "SHUT_AT_HOME": home & (F.col("v_ga") <= 0.7) & (F.col("v_clean") >= 5), "SHORT_REST": F.col("rest") <= 4, "LONG_REST": F.col("rest") >= 7, "STRONG_FINISHES": F.col("strong") >= 2,
+        "SOFT_TO_TOP": (F.col("top_n") >= 5) & (F.col("top_taken") <= 0.2 * F.col("top_n")), "BEATS_BOTTOM": (F.col("low_n") >= 4) & (F.col("low_won") >= 0.75 * F.col("low_n")), "FAVOURITE": F.col("price") <= 1.6, "OUTSIDER": F.col("price") >= 3.5, "HOST": home, "GUEST": guest,
+        "STRICT_REFEREE": (F.col("cards_n") >= 15) & (F.col("cards_mean") >= 5), "H2H_BOTH": (F.col("met") >= 4) & (F.col("both") >= 4), "H2H_UNDER": (F.col("met") >= 4) & (F.col("under") >= 4), "CUP_TIE": F.col("league") == "CUP",
+    }
+    rate = Window.partitionBy("league", "season", "side")
+    x = x.select("match_id", "side", "season", *OUTCOMES, *[F.avg(ind(F.col(o))).over(rate).alias(f"ref_{o}") for o in OUTCOMES], *[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()])
+    return pairs.blocks(pairs.opponent_view(x, "match_id", OWN), "season", 3, "block")
+
+
+def _search_all(spark, base, outcomes, canonical):
+    c = evaluate.combinations(_atoms(spark, base), OWN, ["adv_" + o for o in OWN], MATCH, outcomes, [f"ref_{o}" for o in outcomes], "block", 30, 30, canonical=canonical)
+    return c.select("outcome", "combo", "n", "hits", r6(F.col("ref")).alias("ref"), "agree")
+
+
+def x2_search_all(spark, base):
+    """Single, double and triple conditions of all that the windows give, for every outcome, with at least 30 rows."""
+    return _search_all(spark, base, list(OUTCOMES), False)
+
+
+def x5_search_canonical_all(spark, base):
+    """The same search without mirror images, for the outcomes that do not tell the sides apart."""
+    return _search_all(spark, base, NEUTRAL, True)
+
+
+def s3_top_differences_all(spark, base):
+    """For every outcome the 20 conditions with the greatest difference: a report of fixed length."""
+    x = x2_search_all(spark, base).withColumn("delta", r6(F.col("hits") / F.col("n") - F.col("ref") / F.col("n")))
+    w = Window.partitionBy("outcome").orderBy(F.desc(F.abs("delta")), "combo")
+    return x.withColumn("place", F.row_number().over(w)).where("place <= 20").select("outcome", "combo", "n", "delta")
+
+
 def e10_rounds_since_safe(spark, base):
     """For each side of a match, how many of its matches ago it became certain not to go down."""
     z = table(spark, base, "leagues").select("league", "releg_spots").dropDuplicates(["league"])
@@ -311,5 +389,5 @@ def x6_blocks(spark, base):
     return pairs.blocks(now(spark, base), "season", 3, "block").groupBy("season", "block").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (a17_dedupe, a8_surrogate_key, a10_price_coverage, b1_two_sided, b7_opponent_view, w1_streak_before, w2_rolling_prev, w3_lags, w9_rest_days, w11_venue_streak, w12_season_to_date, w16_offset_window, w17_season_end, w18_pair_last5, w19_same_host, w20_last_loser, w22_range_history, w23_record_vs_top, w24_first_since, e1_standings, e1_standings_strict, e7_stakes, l_outcomes, g1_base_rates, g2_hypotheses, g4_fdr, f12_proportional, f13_shin, f15_source_fallback, f17_wilson, f20_flat_return, b13_cells, g5_adjusted_reference, g13_metadata, g14_roster, e10_rounds_since_safe, x2_search, x5_search_canonical, x6_blocks, s3_top_differences)}
+QUERIES = {f.__name__: f for f in (a17_dedupe, a8_surrogate_key, a10_price_coverage, b1_two_sided, b7_opponent_view, w1_streak_before, w2_rolling_prev, w3_lags, w9_rest_days, w11_venue_streak, w12_season_to_date, w16_offset_window, w17_season_end, w18_pair_last5, w19_same_host, w20_last_loser, w22_range_history, w23_record_vs_top, w24_first_since, e1_standings, e1_standings_strict, e7_stakes, l_outcomes, g1_base_rates, g2_hypotheses, g4_fdr, f12_proportional, f13_shin, f15_source_fallback, f17_wilson, f20_flat_return, b13_cells, g5_adjusted_reference, g13_metadata, g14_roster, e10_rounds_since_safe, x2_search, x2_search_all, x5_search_canonical, x5_search_canonical_all, x6_blocks, s3_top_differences, s3_top_differences_all)}
 ORACLE = form_sql.ORACLE
