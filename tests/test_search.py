@@ -40,3 +40,20 @@ def test_every_outcome_and_condition(spark):
     got = {(r["outcome"], r["combo"]): (r["n"], r["hits"]) for r in form.x2_search_all(spark, BASE).collect()}
     assert got == {(o, c): (k, hits[c][o]) for c, k in n.items() if k >= 30 for o in form.OUTCOMES}
     assert len(form.OUTCOMES) == 23 and x.select(*[F.count_if(a).alias(a) for a in form.OWN]).first()["HOST"] > 0
+
+
+def triples(rows, own, match):
+    n = Counter(f"own:{a}&other:adv_{b}&match:{m}" for r in rows for a in own if r[a] for b in own if r[f"adv_{b}"] for m in match if r[m])
+    return {c: k for c, k in n.items() if k >= 30}
+
+
+def test_no_triple_is_lost(spark, monkeypatch):
+    # pair (A, adv_A) has 50 rows, fewer than 60, and its triple with M 40
+    cols = ["LONG_WINLESS", "WINNING", "SCORING", "LEAKING"]
+    flags = ", ".join(f"{c} boolean, adv_{c} boolean" for c in cols)
+    rows = [(f"s{i % 3}", "L", "home", i % 2 == 0, i < 40, False, *[i < 50] * 2, *[False] * 6) for i in range(90)]
+    df = spark.createDataFrame(rows, f"season string, league string, side string, over25 boolean, AT_HOME boolean, CUP_TIE boolean, {flags}")
+    monkeypatch.setattr(form, "_conditions", lambda spark, base: df)
+    for search in (form.x2_search, form.x5_search_canonical):
+        got = {r["combo"]: r["n"] for r in search(spark, BASE).collect() if r["combo"].count("&") == 2}
+        assert got == triples([r.asDict() for r in df.collect()], cols, ["AT_HOME", "CUP_TIE"]) == {"own:LONG_WINLESS&other:adv_LONG_WINLESS&match:AT_HOME": 40}

@@ -227,10 +227,10 @@ def _ref(x: DataFrame) -> DataFrame:
 
 
 def x2_search(spark, base):
-    """Single, double and triple conditions for over25 with at least 30 rows; triples of pairs with 60."""
+    """Single, double and triple conditions for over25 with at least 30 rows."""
     x = pairs.blocks(_ref(_conditions(spark, base)), "season", 3, "block")
     own = ["LONG_WINLESS", "WINNING", "SCORING", "LEAKING"]
-    c = evaluate.combinations(x, own, ["adv_" + o for o in own], ["AT_HOME", "CUP_TIE"], "over25", "ref", "block", 60, 30)
+    c = evaluate.combinations(x, own, ["adv_" + o for o in own], ["AT_HOME", "CUP_TIE"], "over25", "ref", "block", 30, 30)
     return c.select("combo", "n", "hits", r6(F.col("ref")).alias("ref"), "agree")
 
 
@@ -238,7 +238,7 @@ def x5_search_canonical(spark, base):
     """The same search without mirror images."""
     x = pairs.blocks(_ref(_conditions(spark, base)), "season", 3, "block")
     own = ["LONG_WINLESS", "WINNING", "SCORING", "LEAKING"]
-    c = evaluate.combinations(x, own, ["adv_" + o for o in own], ["AT_HOME", "CUP_TIE"], "over25", "ref", "block", 60, 30, canonical=True)
+    c = evaluate.combinations(x, own, ["adv_" + o for o in own], ["AT_HOME", "CUP_TIE"], "over25", "ref", "block", 30, 30, canonical=True)
     return c.select("combo", "n", "hits", r6(F.col("ref")).alias("ref"), "agree")
 
 
