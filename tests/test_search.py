@@ -57,3 +57,12 @@ def test_no_triple_is_lost(spark, monkeypatch):
     for search in (form.x2_search, form.x5_search_canonical):
         got = {r["combo"]: r["n"] for r in search(spark, BASE).collect() if r["combo"].count("&") == 2}
         assert got == triples([r.asDict() for r in df.collect()], cols, ["AT_HOME", "CUP_TIE"]) == {"own:LONG_WINLESS&other:adv_LONG_WINLESS&match:AT_HOME": 40}
+
+
+def test_single_match_conditions_count_matches(spark, monkeypatch):
+    flags = ", ".join(f"{c} boolean, adv_{c} boolean" for c in ("LONG_WINLESS", "WINNING", "SCORING", "LEAKING"))
+    rows = [(f"s{i % 3}", "CUP", side, i % 4 == 0, side == "home", True, *[False] * 8) for i in range(40) for side in ("home", "away")]
+    df = spark.createDataFrame(rows, f"season string, league string, side string, over25 boolean, AT_HOME boolean, CUP_TIE boolean, {flags}")
+    monkeypatch.setattr(form, "_conditions", lambda spark, base: df)
+    assert {r["combo"]: (r["n"], r["hits"]) for r in form.x5_search_canonical(spark, BASE).collect()} == {"match:AT_HOME": (40, 10), "match:CUP_TIE": (40, 10)}
+    assert {r["combo"]: (r["n"], r["hits"]) for r in form.x2_search(spark, BASE).collect()} == {"match:AT_HOME": (40, 10), "match:CUP_TIE": (80, 20)}

@@ -44,7 +44,7 @@ def hypotheses(df: DataFrame, specs: dict[str, tuple[Column, list[str]]], keys:
     )
 
 
-def combinations(df: DataFrame, own: list[str], other: list[str], match: list[str], outcome: str | list[str], ref: str | list[str], block: str, prune: int, least: int, canonical: bool = False, prefix: str = "adv_") -> DataFrame:
+def combinations(df: DataFrame, own: list[str], other: list[str], match: list[str], outcome: str | list[str], ref: str | list[str], block: str, prune: int, least: int, canonical: bool = False, prefix: str = "adv_", once: str | None = None) -> DataFrame:
     """(combo, n, hits, ref, var, agree) of single conditions, pairs and triples (own x other x match), with at least `least` rows.
 
     outcome, ref: one column each, or as many refs as outcomes: then all outcomes of a combination are counted in the same
@@ -54,6 +54,7 @@ def combinations(df: DataFrame, own: list[str], other: list[str], match: list[st
     has the sign of the whole.
     canonical: of own x other only the orientation whose own condition comes first or is the same, for outcomes that do
     not tell the sides apart, so that no pair is tested twice as its mirror image; and no conditions of the other side alone.
+    once: a column true of one of the two rows of a match; single match conditions are counted on such rows only.
     """
     outcomes, refs = ([outcome], [ref]) if isinstance(outcome, str) else (outcome, ref)
     true = lambda cols, tag: F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(f"{tag}:{c}")) for c in cols]))
@@ -61,12 +62,13 @@ def combinations(df: DataFrame, own: list[str], other: list[str], match: list[st
     some = reduce(lambda p, q: p | q, [seen(o, r) for o, r in zip(outcomes, refs, strict=True)])
     numbers = [c for i, (o, r) in enumerate(zip(outcomes, refs)) for c in (F.when(seen(o, r), F.col(o).cast("int")).alias(f"_h{i}"), F.when(seen(o, r), F.col(r)).alias(f"_r{i}"))]
     kept = [f"_{k}{i}" for i in range(len(outcomes)) for k in "hr"] + ["block"]
-    x = df.where(some).select(*numbers, F.col(block).alias("block"), true(own, "own").alias("s"), true(other, "other").alias("a"), true(match, "match").alias("m"))
+    x = df.where(some).select(*numbers, F.col(block).alias("block"), true(own, "own").alias("s"), true(other, "other").alias("a"), true(match, "match").alias("m"), F.coalesce(F.col(once), F.lit(False)).alias("_once") if once else F.lit(True).alias("_once"))
     cross = lambda p, q: F.flatten(F.transform(p, lambda u: F.transform(q, lambda v: F.concat_ws("&", u, v))))
     upper = F.flatten(F.transform("s", lambda u: F.transform(F.filter("s", lambda v: v > u), lambda v: F.concat_ws("&", u, v))))
     name = lambda c: F.regexp_replace(c, f"^[a-z]+:({prefix})?", "")
     facing = F.flatten(F.transform("s", lambda u: F.transform(F.filter("a", lambda v: name(u) <= name(v)), lambda v: F.concat_ws("&", u, v)))) if canonical else cross(F.col("s"), F.col("a"))
-    first = F.concat(F.col("s"), F.col("m"), facing, cross(F.col("s"), F.col("m")), upper, *([] if canonical else [F.col("a"), cross(F.col("a"), F.col("m"))]))
+    alone = F.when(F.col("_once"), F.col("m")).otherwise(F.array().cast("array<string>"))
+    first = F.concat(F.col("s"), alone, facing, cross(F.col("s"), F.col("m")), upper, *([] if canonical else [F.col("a"), cross(F.col("a"), F.col("m"))]))
 
     def blocks(rows: DataFrame) -> DataFrame:
         sums = lambda i: (F.count(f"_r{i}").alias(f"n{i}"), F.sum(f"_h{i}").alias(f"h{i}"), F.sum(f"_r{i}").alias(f"r{i}"), F.sum(F.col(f"_r{i}") * (1 - F.col(f"_r{i}"))).alias(f"v{i}"))

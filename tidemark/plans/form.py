@@ -235,10 +235,10 @@ def x2_search(spark, base):
 
 
 def x5_search_canonical(spark, base):
-    """The same search without mirror images."""
+    """The same search without mirror images; single match conditions count each match once."""
     x = pairs.blocks(_ref(_conditions(spark, base)), "season", 3, "block")
     own = ["LONG_WINLESS", "WINNING", "SCORING", "LEAKING"]
-    c = evaluate.combinations(x, own, ["adv_" + o for o in own], ["AT_HOME", "CUP_TIE"], "over25", "ref", "block", 30, 30, canonical=True)
+    c = evaluate.combinations(x, own, ["adv_" + o for o in own], ["AT_HOME", "CUP_TIE"], "over25", "ref", "block", 30, 30, canonical=True, once="AT_HOME")
     return c.select("combo", "n", "hits", r6(F.col("ref")).alias("ref"), "agree")
 
 
@@ -299,7 +299,7 @@ def _atoms(spark, base):
 
 
 def _search_all(spark, base, outcomes, canonical):
-    c = evaluate.combinations(_atoms(spark, base), OWN, ["adv_" + o for o in OWN], MATCH, outcomes, [f"ref_{o}" for o in outcomes], "block", 30, 30, canonical=canonical)
+    c = evaluate.combinations(_atoms(spark, base), OWN, ["adv_" + o for o in OWN], MATCH, outcomes, [f"ref_{o}" for o in outcomes], "block", 30, 30, canonical=canonical, once="HOST" if canonical else None)
     return c.select("outcome", "combo", "n", "hits", r6(F.col("ref")).alias("ref"), "agree")
 
 
