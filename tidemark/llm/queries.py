@@ -10,6 +10,7 @@ from tidemark.operators import instants
 from tidemark.session import cut_lineage, table
 
 CUP = "CUP"
+LESS_LOSS = packing.Limits(loss=1536)
 
 
 def roster(spark: SparkSession, base: str) -> DataFrame:
@@ -114,16 +115,29 @@ def p7_packed(spark: SparkSession, base: str) -> DataFrame:
     return packing.packed(table(spark, base, "documents"), "doc_id", "text")
 
 
-def p7_fill(spark: SparkSession, base: str) -> DataFrame:
-    """Containers used, the fewest possible by tokens alone, and the share of space left unused."""
-    c = p7_packed(spark, base).groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("n_loss").alias("loss"))
-    cap = packing.Limits().tokens
+def p7_packed_loss(spark: SparkSession, base: str) -> DataFrame:
+    """The same with fewer loss-bearing tokens to a container than tokens, so that all three limits can bind."""
+    return packing.packed(table(spark, base, "documents"), "doc_id", "text", LESS_LOSS)
+
+
+def _fill(packed: DataFrame, limits: packing.Limits) -> DataFrame:
+    c = packed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("n_loss").alias("loss"))
     return c.agg(
-        F.count("*").alias("containers"), F.ceil(F.sum("tokens") / cap).alias("fewest"), (1 - F.sum("tokens") / (F.count("*") * cap)).alias("unused"),
+        F.count("*").alias("containers"), F.ceil(F.greatest(F.sum("tokens") / limits.tokens, F.sum("loss") / limits.loss)).alias("fewest"), (1 - F.sum("tokens") / (F.count("*") * limits.tokens)).alias("unused"),
         F.max("tokens").alias("most_tokens"), F.max("segments").alias("most_segments"), F.max("loss").alias("most_loss"),
     )
 
 
+def p7_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Containers used, the fewest possible by tokens alone, and the share of space left unused."""
+    return _fill(p7_packed(spark, base), packing.Limits())
+
+
+def p7_fill_loss(spark: SparkSession, base: str) -> DataFrame:
+    """The same of p7_packed_loss; the fewest possible are by tokens or by loss-bearing tokens alone."""
+    return _fill(p7_packed_loss(spark, base), LESS_LOSS)
+
+
 def _ends(spark: SparkSession, base: str) -> DataFrame:
     return truncation.ends(table(spark, base, "documents").select("doc_id", "source", "text"), "text", "source")
 
@@ -143,7 +157,7 @@ def p9_limits(spark: SparkSession, base: str) -> DataFrame:
     return truncation.limits(table(spark, base, "documents"), "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p7_packed, p7_packed_loss, p7_fill, p7_fill_loss, p8_found, p8_items, p9_found, p9_rates, p9_limits)}
 _P5 = """
 WITH s AS (SELECT DISTINCT event_id, candidat, team_fd, home_fd, commence FROM journal),
 m AS (SELECT DISTINCT match_id, home, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS noon FROM matches),
