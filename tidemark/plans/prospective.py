@@ -149,9 +149,11 @@ def j_stream_dedupe(spark, base):
 
 
 def j_stream_windows(spark, base):
-    """Events per hour and type, once their windows are closed."""
-    s = streams.landed(spark, f"{base}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("double").alias("value"))
-    w = streams.drain(streams.tumbling(s, "ts", "0 seconds", "1 hour", ["event_type"], "value"), "windows")
+    """Events per hour and type: the windows that the stream closed, and from the landed rows those still open at its end."""
+    path = f"{base}/events.parquet"
+    typed = lambda x: x.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("double").alias("value"))
+    w = streams.drain(streams.tumbling(typed(streams.landed(spark, path)), "ts", "0 seconds", "1 hour", ["event_type"], "value"), "windows")
+    w = w.unionByName(streams.still_open(typed(spark.read.parquet(path)), w, "ts", "1 hour", ["event_type"], "value"))
     return w.select("start", "event_type", "n", r6(F.col("total")).alias("total"))
 
 

@@ -40,6 +40,13 @@ def tumbling(stream: DataFrame, at: str, late: str, width: str, by: list[str], v
     return g.select(F.col("window.start").alias("start"), *by, "n", "total")
 
 
+def still_open(batch: DataFrame, closed: DataFrame, at: str, width: str, by: list[str], value: str) -> DataFrame:
+    """The windows of tumbling() over the landed rows that the stream has not given, because its watermark never passed their end."""
+    g = batch.where(F.col(at).isNotNull()).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    g = g.select(F.col("window.start").alias("start"), *by, "n", "total")
+    return g.join(closed.select("start").distinct(), "start", "left_anti")
+
+
 def append_once(stream: DataFrame, key: list[str], path: str) -> None:
     """foreachBatch sink that adds rows whose key the table at path lacks: a replayed batch adds nothing."""
     from tidemark.sources import feeds
