@@ -44,7 +44,7 @@ def test_leaks_equal_brute_force(spark):
     find = lambda **kw: {tuple(r) for r in leakage.find(d, "doc_id", "text", i, "item_id", "text", **kw).collect()}
     got = find()
     assert got == find(brute=True) and {(902, 1), (903, 2)} <= got and 20 < len(got) < 120
-    assert find(block=7) == got
+    assert find(block_bytes=2_000) == got == find(block_bytes=700, blocks_a_pass=2)
     assert leakage.find(d.where("false"), "doc_id", "text", i, "item_id", "text").count() == 0
     assert leakage.find(d, "doc_id", "text", i.where("false"), "item_id", "text").count() == 0
 
@@ -58,10 +58,73 @@ def test_wand_equals_exhaustive_scores():
         for t in q:
             for n, s in zip(ix.docs[t], ix.scores[t]):
                 scores[n] = scores.get(n, 0.0) + s
-        for threshold in (2.0, 4.0, 7.0):
+        for threshold in (0.3, 0.6, 1.0):
             assert set(ix.above(q, threshold)) == {n for n, s in scores.items() if s >= threshold}
 
 
+def leaks_by_hand(item, text):
+    """Cell by cell: stretches whose first and last word are held, for each place to begin."""
+    for a in range(len(item) - 19):
+        row = [0 if j and text[j - 1] == item[a] else 999 for j in range(len(text) + 1)]
+        for j in range(1, len(row)):
+            row[j] = min(row[j], row[j - 1] + 1)
+        for n, w in enumerate(item[a + 1 :], 2):
+            if n >= 20 and any(6 * row[j] <= n for j, v in enumerate(text) if v == w):
+                return True
+            diag, row[0] = row[0], row[0] + 1
+            for j, v in enumerate(text, 1):
+                diag, row[j] = row[j], min(diag + (w != v), row[j] + 1, row[j - 1] + 1)
+    return False
+
+
+def test_alignment_equals_all_stretches():
+    rng = random.Random(12)
+    found = 0
+    for _ in range(60):
+        item = [rng.choice(VOCAB) for _ in range(rng.randrange(20, 90))]
+        text = [rng.choice(VOCAB) for _ in range(6)] + spoilt(rng, item[: rng.randrange(14, 90)], rng.choice([0.05, 0.12, 0.2])) + [rng.choice(VOCAB) for _ in range(6)]
+        number = {w: i for i, w in enumerate(VOCAB)}
+        got = leakage.aligned(np.array([number[w] for w in item]), np.array([number[w] for w in text]), 20, 6)
+        assert got == leaks_by_hand(item, text)
+        found += got
+    assert 5 < found < 55
+
+
+def lost(items, docs):
+    ix = leakage.Index(items)
+    want = {(d, i) for d, t in docs for i in leakage._leaks(ix, leakage.words(t), 96, True)}
+    got = {(d, i) for d, t in docs for i in leakage._leaks(ix, leakage.words(t), 96)}
+    return want, got
+
+
+def test_no_link_is_lost_in_long_items():
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(60))) for i in range(160)] + [(160, " ".join(rng.choice(vocab) for _ in range(2400)))]
+    long, docs = items[-1][1].split(), []
+    for d in range(40):
+        at = rng.randrange(2380)
+        quote = long[at : at + 20]
+        for k in rng.sample(range(1, 19), 3 if d % 2 else 0):
+            quote[k] = "zz"
+        docs.append((d, " ".join([*(rng.choice(vocab) for _ in range(50)), *quote, *(rng.choice(vocab) for _ in range(50))])))
+    want, got = lost(items, docs)
+    assert got == want and {(d, 160) for d in range(40)} <= got
+
+
+def test_no_link_is_lost_in_shared_or_repetitive_passages():
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(900)]
+    common, everywhere = ([rng.choice(vocab) for _ in range(30)] for _ in range(2))
+    items = [(i, " ".join([*(rng.choice(vocab) for _ in range(40)), *(common if i % 5 else []), *everywhere, *(rng.choice(vocab) for _ in range(20))])) for i in range(100)]
+    items += [(200, " ".join(["la", "di"] * 40)), (201, "hey " * 50)]
+    docs = [(0, " ".join(common)), (1, " ".join(["x", *everywhere[:24], "y"])), (2, " ".join(["la", "di"] * 12)), (3, "hey " * 21), (4, items[7][1]), (5, "hey " * 15)]
+    want, got = lost(items, docs)
+    assert got == want
+    of = lambda d: {i for e, i in got if e == d}
+    assert len(of(0)) == 80 and len(of(1)) == 100 and of(2) == {200} and of(3) == {201} and 7 in of(4) and not of(5)
+
+
 def test_markup_does_not_count():
     plain = leakage.words("The silver groundsman copied a banner")
     for t in ("THE <b>silver</b>\n> grounds-\n> man, copied a&nbsp;banner!", "the silvér GROUNDSMAN  **copied** a ban​ner"):

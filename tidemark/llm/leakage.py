@@ -1,8 +1,14 @@
 """Evaluation texts in training text.
 
-The test items form a BM25 inverted index whose terms are pairs of neighbouring words; every passage of the corpus is a
-query against it, answered by block-max WAND with all items above the threshold. What is retrieved is verified by an
-alignment of words. The corpus is read once, in place; only the index travels.
+The test items, cut into overlapping segments, form a BM25 inverted index whose terms are pairs of neighbouring words; every
+passage of the corpus is a query against it, answered by block-max WAND with all segments above their threshold. A segment's
+threshold is the least score that a case within it can have, so nothing is lost however long, frequent or repetitive it is.
+What is retrieved is verified by an alignment of words. The corpus is read in place; only the index travels.
+
+A case is a stretch of at least `least` item words whose first and last word the text holds, with at most one edit in per_edit words.
+Why segments suffice: let such a stretch have n words and e edits. It can be cut between two of its matches, what lies between left
+out; the parts have no more edits to a word than the whole, so one of them keeps the condition. Both have `least` words as
+long as n - e >= 2 * least. So a case exists if and only if a short one does, of longest(least, per_edit) words at most.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from __future__ import annotations
 import bisect
 import html
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -43,53 +50,77 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def longest(least: int, per_edit: int) -> int:
+    """The most item words of a case that holds no shorter one."""
+    return max(n for n in range(least, 3 * least) if n - n // per_edit < 2 * least)
+
+
 class Index:
-    """BM25 over bigrams of the items, with the score of each posting precomputed and the maximum of each block of postings."""
+    """BM25 over bigrams of segments of the items; scores are in units of the segment's threshold, with the maximum of each block of postings.
+
+    A segment of 2 * longest words begins every `longest` + 1 words, so that any case of at most `longest` item words lies within one. Segments whose threshold a single pair could reach (what they share with others leaves them
+    no telling pairs) are found by the runs of words that every case holds unchanged, which is as exact.
+    """
 
     K1, B, BLOCK = 1.2, 0.75, 32
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        texts = [words(t) for _, t in items]
+    def __init__(self, items: list[tuple[int, str]], least: int = 20, per_edit: int = 6):
+        self.least, self.per_edit, self.longest, self.run = least, per_edit, longest(least, per_edit), sure_run(least, per_edit)
         self.vocabulary: dict[str, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in t], dtype=np.int64) for t in texts]
+        self.ids, self.segments = [], []
+        for i, text in items:
+            t = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], dtype=np.int64)
+            for first in range(0, len(t) - least + 1, self.longest + 1):
+                self.ids.append(i)
+                self.segments.append(t[first : first + 2 * self.longest])
         self.size = max(1, len(self.vocabulary))
-        self._runs: dict[tuple[int, int], np.ndarray] = {}
-        postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        mean = sum(map(len, self.items)) / max(1, len(self.items)) or 1.0
-        for n, t in enumerate(self.items):
-            for term, tf in Counter((t[:-1] * self.size + t[1:]).tolist()).items():
-                postings[term].append((n, tf))
+        self._runs: dict[int, np.ndarray] = {}
+        pairs = [t[:-1] * self.size + t[1:] for t in self.segments]
+        frequency = Counter(k for p in pairs for k in np.unique(p).tolist())
+        mean, n = sum(map(len, pairs)) / max(1, len(pairs)) or 1.0, len(pairs)
+        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self.by_run: dict[int, list[int]] = defaultdict(list)
+        for no, p in enumerate(pairs):
+            norm = self.K1 * (1 - self.B + self.B * len(p) / mean)
+            score = {k: math.log(1 + (n - frequency[k] + 0.5) / (frequency[k] + 0.5)) * tf * (self.K1 + 1) / (tf + norm) for k, tf in Counter(p.tolist()).items()}
+            bound = least_score(p, np.array([score[k] for k in p.tolist()]), least, per_edit)
+            if bound <= max(score.values()):
+                for k in self.runs_of(no).tolist():
+                    self.by_run[k].append(no)
+                continue
+            for k, x in score.items():
+                postings[k].append((no, x / bound))
         self.terms = np.array(sorted(postings), dtype=np.int64)
         self.docs, self.scores, self.most, self.block_most = [], [], [], []
         for term in self.terms.tolist():
-            p = postings[term]
-            idf = math.log(1 + (len(items) - len(p) + 0.5) / (len(p) + 0.5))
-            score = [idf * tf * (self.K1 + 1) / (tf + self.K1 * (1 - self.B + self.B * len(self.items[n]) / mean)) for n, tf in p]
-            self.docs.append([n for n, _ in p])
+            docs, score = [d for d, _ in postings[term]], [x for _, x in postings[term]]
+            self.docs.append(docs)
             self.scores.append(score)
             self.most.append(max(score))
             self.block_most.append([max(score[i : i + self.BLOCK]) for i in range(0, len(score), self.BLOCK)])
 
-    def runs_of(self, n: int, r: int) -> np.ndarray:
-        """Keys of the item's runs of r words, kept once computed."""
-        if (n, r) not in self._runs:
-            self._runs[n, r] = np.unique(_runs(self.items[n], r))
-        return self._runs[n, r]
+    def runs_of(self, n: int) -> np.ndarray:
+        """Keys of the segment's runs of words that any case holds one of, kept once computed."""
+        if n not in self._runs:
+            self._runs[n] = np.unique(_runs(self.segments[n], self.run))
+        return self._runs[n]
 
-    def hits(self, text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The text in word numbers (-1: in no item), the places of its pairs that are terms, and these terms."""
+    def numbers(self, text: list[str]) -> np.ndarray:
+        """The text in word numbers, -1 for words of no item."""
         get = self.vocabulary.get
-        t = np.array([get(w, -1) for w in text], dtype=np.int64)
+        return np.array([get(w, -1) for w in text], dtype=np.int64)
+
+    def hits(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the text's pairs that are terms, and these terms."""
         if len(t) < 2 or not len(self.terms):
-            return t, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         key = np.where((t[:-1] >= 0) & (t[1:] >= 0), t[:-1] * self.size + t[1:], -1)
         at = np.minimum(np.searchsorted(self.terms, key), len(self.terms) - 1)
         place = np.flatnonzero(self.terms[at] == key)
-        return t, place, at[place]
+        return place, at[place]
 
     def above(self, terms: list[int], threshold: float) -> dict[int, float]:
-        """Block-max WAND: every item whose score for the query is the threshold at least."""
+        """Block-max WAND: every segment whose score for the query is the threshold at least."""
         lists = [[self.docs[t], self.scores[t], self.most[t], self.block_most[t], 0] for t in terms]
         out: dict[int, float] = {}
         while lists:
@@ -133,48 +164,49 @@ class Index:
         return out
 
 
+def least_score(pairs: np.ndarray, score: np.ndarray, least: int, per_edit: int) -> float:
+    """The least sum of scores of distinct pairs that a case within the segment shares with a text.
+
+    An edit breaks two pairs at most: of every stretch, all distinct pairs but the 2e that weigh most. Of the lengths that allow e
+    edits only the shortest counts, as more words only add pairs.
+    """
+    where: dict[int, int] = {}
+    last = np.array([(where.get(k, -1), where.__setitem__(k, i))[0] for i, k in enumerate(pairs.tolist())])
+    out = math.inf
+    for e in range(least // per_edit, longest(least, per_edit) // per_edit + 1):
+        n = max(least, e * per_edit) - 1  # pairs of the stretch
+        if n > len(pairs):
+            break
+        first = np.arange(len(pairs) - n + 1)[:, None]
+        at = first + np.arange(n)
+        weight = np.where(last[at] >= first, 0.0, score[at])  # a repeated pair counts once
+        kept = np.sort(weight, axis=1)[:, : max(0, n - 2 * e)]
+        out = min(out, float(kept.sum(axis=1).min()))
+    return out
+
+
 def aligned(item: np.ndarray, text: np.ndarray, least: int, per_edit: int) -> bool:
-    """Whether text holds `least` consecutive words of item with at most one in per_edit changed, dropped or added.
+    """Whether text holds `least` consecutive words of item with at most one in per_edit changed, dropped or added, the first and last unchanged.
 
-    Local alignment (match 1, edit -2.5: an edit is bridged by three matches) and then, on its path, a stretch that satisfies the
-    condition.
+    Exact: for every place of the item at which a stretch may begin, the least edits of its first m words against any stretch of
+    the text that begins with the same word, for all places at once, m growing to `longest`.
     """
-    n, m, edit = len(item), len(text), 2.5
-    ramp = edit * np.arange(m + 1)
-    h = np.zeros(m + 1)
-    way = np.zeros((n + 1, m + 1), dtype=np.uint8)  # 0 start, 1 diagonal, 2 item word dropped, 3 word added
-    best, end = 0.0, (0, 0)
-    for i in range(1, n + 1):
-        diag = np.concatenate([[0.0], h[:-1] + np.where(text == item[i - 1], 1.0, -edit)])
-        up = h - edit
-        new, w = np.maximum(diag, up), np.where(diag >= up, 1, 2).astype(np.uint8)
-        start = new <= 0
-        new[start], w[start] = 0.0, 0
-        run = np.maximum.accumulate(new + ramp) - ramp  # words added: the best cell to the left, less an edit for each
-        added = run > new + 1e-9
-        new[added], w[added] = run[added], 3
-        h, way[i] = new, w
-        j = int(h.argmax())
-        if h[j] > best:
-            best, end = float(h[j]), (i, j)
-    if best < least * (1 - 1 / per_edit) - edit * least / per_edit - 1e-9:
+    n, far = len(item), 1 << 20
+    if n < least or not len(text):
         return False
-    i, j = end
-    steps = []  # (item words, edits) backwards
-    while i > 0 and j > 0 and way[i, j]:
-        if way[i, j] == 1:
-            steps.append((1, int(item[i - 1] != text[j - 1])))
-            i, j = i - 1, j - 1
-        elif way[i, j] == 2:
-            steps.append((1, 1))
-            i -= 1
-        else:
-            steps.append((0, 1))
-            j -= 1
-    s = np.concatenate([[[0, 0]], np.cumsum(np.array(steps, dtype=np.int64).reshape(-1, 2), axis=0)])
-    length = s[:, 0][None, :] - s[:, 0][:, None]
-    edits = s[:, 1][None, :] - s[:, 1][:, None]
-    return bool(((length >= least) & (edits * per_edit <= length)).any())
+    ramp = np.arange(len(text) + 1, dtype=np.int32)
+    d = np.full((n - least + 1, len(text) + 1), far, dtype=np.int32)
+    d[:, 1:][item[: len(d), None] == text[None, :]] = 0
+    d = np.minimum.accumulate(d - ramp, axis=1) + ramp
+    for m in range(2, min(n, longest(least, per_edit)) + 1):
+        d = d[: n - m + 1]
+        other = item[m - 1 : m - 1 + len(d), None] != text[None, :]
+        if m >= least and int((d[:, :-1] + other * far).min()) * per_edit <= m:
+            return True
+        new = d + 1  # a word of the item dropped
+        np.minimum(new[:, 1:], d[:, :-1] + other, out=new[:, 1:])
+        d = np.minimum.accumulate(new - ramp, axis=1) + ramp  # words added
+    return False
 
 
 def sure_run(least: int, per_edit: int) -> int:
@@ -195,75 +227,72 @@ def _runs(t: np.ndarray, r: int) -> np.ndarray:
     return np.where(known, key, -1)
 
 
-def _leaks(index: Index, text: str, threshold: float, least: int, per_edit: int, window: int, brute: bool = False) -> list[int]:
-    t, place, term = index.hits(words(text))
-    wanted: dict[int, list[tuple[int, int]]] = defaultdict(list)
+def _leaks(index: Index, text: list[str], window: int, brute: bool = False) -> list[int]:
+    """The ids of the items that leak into the text."""
+    t, least, per_edit = index.numbers(text), index.least, index.per_edit
     if brute:
-        wanted = {n: [(0, len(t))] for n in range(len(index.items))}
-    elif len(place) >= 2:
-        step = window // 2
-        for first in range(0, max(1, len(t) - step), step):
-            lo, hi = np.searchsorted(place, [first, first + window - 1])
-            if hi - lo < 2:
+        return sorted({index.ids[n] for n, s in enumerate(index.segments) if aligned(s, t, least, per_edit)})
+    out: set[int] = set()
+    if len(t) < least - least // per_edit:
+        return []
+    place, term = index.hits(t)
+    run = _runs(t, index.run)
+    shared = [n for n, k in enumerate(run.tolist()) if k in index.by_run] if index.by_run else []
+    step = window - index.longest - index.longest // per_edit  # any case lies within one window
+    for first in range(0, max(1, len(t) - window + step), step):
+        lo, hi = np.searchsorted(place, [first, first + window - 1])
+        terms = sorted(set(term[lo:hi].tolist()))
+        found = list(index.above(terms, 1 - 1e-9)) if sum(index.most[k] for k in terms) >= 1 - 1e-9 else []
+        if shared:
+            lo, hi = bisect.bisect_left(shared, first), bisect.bisect_left(shared, first + window - index.run + 1)
+            found += sorted({n for i in shared[lo:hi] for n in index.by_run[int(run[i])]})
+        for n in found:
+            if index.ids[n] in out:
                 continue
-            for n in index.above(sorted(set(term[lo:hi].tolist())), threshold):
-                reach = len(index.items[n])
-                wanted[n].append((max(0, first - reach), min(len(t), first + window + reach)))
-    out, run = [], sure_run(least, per_edit)
-    for n, spans in wanted.items():
-        merged: list[list[int]] = []
-        for a, b in spans:  # in order
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        # an exact check before the alignment: a run that every case holds unchanged
-        if not brute and not any(np.isin(_runs(t[a:b], run), index.runs_of(n, run)).any() for a, b in merged):
-            continue
-        if any(aligned(index.items[n], t[a:b], least, per_edit) for a, b in merged):
-            out.append(n)
-    return out
-
+            # an exact check before the alignment: a run that every case holds unchanged
+            if np.isin(run[first : first + window - index.run + 1], index.runs_of(n)).any() and aligned(index.segments[n], t[first : first + window], least, per_edit):
+                out.add(index.ids[n])
+    return sorted(out)
 
-def threshold_for(n_items: int) -> float:
-    """Four shared pairs, each as frequent as in one item of sixteen: less than the thirteen that any case shares."""
-    df = max(1.0, n_items / 16)
-    return 4 * math.log(1 + (n_items - df + 0.5) / (df + 0.5)) if n_items > 1 else 0.1
 
-
-def find(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 20, per_edit: int = 6, window: int = 64, block: int = 20_000, brute: bool = False) -> DataFrame:
+def find(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 20, per_edit: int = 6, window: int = 96, block_bytes: int = 4_000_000, blocks_a_pass: int = 8, brute: bool = False) -> DataFrame:
     """(doc_id, item_id) for each document that holds `least` words of an item in order, up to one in per_edit changed, dropped or added.
 
     Null ids or texts and empty texts hold nothing and are held by nothing; items shorter than `least` words cannot leak.
-    Repeated rows of a table give a pair once. Documents are read whole, whatever their length. Other columns are ignored.
+    Repeated rows of a table give a pair once; of an item with several texts the least counts. Documents are read whole, whatever
+    their length. Other columns are ignored.
 
-    items is a stated query set: it is read to the driver in blocks of `block` items, each block an index of its own that is
-    broadcast (some 20 KB an item at most) and met by all documents. brute: align every item with every text, for tests.
+    items is a stated query set. Blocks of some block_bytes of its texts are indexed by tasks of their own, whatever their number, and
+    broadcast; a pass over the documents meets blocks_a_pass of them, which bounds what a worker holds. Blocks and passes change no
+    result, as a segment's threshold is exact in any block. brute: align every segment with every text, for tests.
     """
+    if window <= longest(least, per_edit) * (1 + 1 / per_edit):
+        raise ValueError("window is too short for the longest case")
     spark = docs.sparkSession
     ship(spark)
-    held = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).dropDuplicates([item_id])
-    n = held.count()
-    blocks = max(1, math.ceil(n / block))
+    held = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).groupBy(F.col(item_id).alias("_id")).agg(F.min(item_text).alias("_text"))
+    size = held.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+
+    def build(g: pd.DataFrame) -> pd.DataFrame:
+        index = Index(sorted(zip(g["_id"].tolist(), g["_text"])), least, per_edit)
+        return pd.DataFrame({"_index": [pickle.dumps(index, protocol=pickle.HIGHEST_PROTOCOL)]})
+
+    dealt = held.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(blocks))).repartition(blocks, "_b")
+    built = dealt.groupBy("_b").applyInPandas(build, "_index binary")
+    shared = [spark.sparkContext.broadcast(bytes(r[0])) for r in built.toLocalIterator()]  # one block at a time
     docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, text)
-    # words are found in Python: as many tasks as that takes, wherever the table has few files
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < 3 * cores:
-        docs = docs.repartition(3 * cores)
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    out = None
-    for k in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).collect()
-        index = Index([(r[0], r[1]) for r in sorted(rows)])
-        shared = spark.sparkContext.broadcast(index)
-        threshold = threshold_for(len(rows))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared, threshold=threshold) -> Iterator[pd.DataFrame]:
-            ix = shared.value
+    schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}"
+    out = spark.createDataFrame([], schema)
+    for k in range(0, len(shared), blocks_a_pass):
+
+        def scan(batches: Iterator[pd.DataFrame], part=shared[k : k + blocks_a_pass]) -> Iterator[pd.DataFrame]:
+            indexes = [pickle.loads(b.value) for b in part]
             for b in batches:
-                found = [(d, ix.ids[i]) for d, t in zip(b[doc_id], b[text]) for i in _leaks(ix, t, threshold, least, per_edit, window, brute)]
+                split = [words(t) for t in b[text]]
+                found = [(d, i) for ix in indexes for d, t in zip(b[doc_id], split) for i in _leaks(ix, t, window, brute)]
                 yield pd.DataFrame(found, columns=[doc_id, item_id])
 
-        part = docs.mapInPandas(scan, f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(docs.mapInPandas(scan, schema)) if k else docs.mapInPandas(scan, schema)
     return out.distinct()
