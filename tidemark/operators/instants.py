@@ -102,11 +102,16 @@ def read(df: DataFrame, text: str) -> DataFrame:
     return x.drop("_t", "_y", "_m", "_d", "_h", "_mi", "_s", "_f", "_z")
 
 
+def known_zones(df: DataFrame, tz: str) -> list[str]:
+    """The zone names of df that the IANA list holds: filtered before they are fetched, so 599 at the most."""
+    return [r[0] for r in df.select(tz).where(F.col(tz).isin(*sorted(available_timezones()))).distinct().collect()]
+
+
 def zone_intervals(spark: SparkSession, zones: list[str], first_year: int = 1970, last_year: int = 2100) -> DataFrame:
     """(tz, year, spans): for each local year the intervals of one offset, as local microseconds [since, until).
 
     At most one row per zone and year: 599 zones in the IANA list times the years, under 12 MB with the defaults.
-    Unknown zone names are left out.
+    Unknown zone names are left out. Wall times of other years are resolved by normalise() from the zone's rules.
     """
     known, rows, us = available_timezones(), [], lambda t: int((t - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))
     for tz in sorted({z for z in zones if z in known}):
@@ -135,19 +140,32 @@ def normalise(df: DataFrame, text: str, tz: str, zones: DataFrame) -> DataFrame:
     """Adds `utc_us` and `time_status` to each row; df's columns stay (those two names are replaced).
 
     time_status: `instant` (the text fixes it), `direct`, `ambiguous` (first pass taken), `nonexistent` (the offset before
-    the gap taken), `no_zone` (wall time, zone null or unknown or outside the years), `unknown_zone` (an abbreviation not listed),
+    the gap taken), `no_zone` (wall time, zone null or unknown), `unknown_zone` (an abbreviation not listed),
     `day_only`, `unreadable`; utc_us is null for the last four. A null or empty text is `unreadable`.
-    zones: zone_intervals(), broadcast under the bound given there.
+    zones: zone_intervals(), broadcast under the bound given there. Wall times of years that it does not cover are few; they are
+    resolved one by one by the zone's rules, with the same outcomes.
     """
     x = read(df.drop("utc_us", "time_status"), text)
-    year = F.year(F.timestamp_micros("_us"))
+    year, (first, last) = F.year(F.timestamp_micros("_us")), zones.agg(F.min("_year"), F.max("_year")).first()
     needs = F.col("_offset").isNull() & F.col("_us").isNotNull() & ~F.col("_unknown_zone")
-    x = x.withColumn("_y", F.when(needs, year)).withColumn("_zone", F.when(needs, F.col(f"`{tz}`")))
+    covered = F.least(F.greatest(year, F.lit(first)), F.lit(last))
+    x = x.withColumn("_y", F.when(needs, covered)).withColumn("_zone", F.when(needs, F.col(f"`{tz}`"))).withColumn("_beyond", needs & (covered != year))
     x = x.join(F.broadcast(zones), (F.col("_zone") == F.col("_tz")) & (F.col("_y") == F.col("_year")), "left")
     hit = F.filter("spans", lambda s: (s["since"] <= F.col("_us")) & (F.col("_us") < s["until"]))
     before = F.filter("spans", lambda s: s["until"] <= F.col("_us"))
-    x = x.withColumn("_hit", hit)
-    wall_offset = F.when(F.size("_hit") > 0, F.array_max(F.transform("_hit", lambda s: s["offset"]))).otherwise(F.try_element_at(before, F.lit(-1))["offset"])
+    # by rule: the offset of the first pass, or the one before a gap; the offset some hours on may give a second pass
+    micros = lambda t: F.unix_micros(t)
+    at = F.timestamp_micros("_us")
+    offset_at = lambda us: (micros(F.from_utc_timestamp(F.timestamp_micros(us), F.col("_tz"))) - us) / 1_000_000
+    one = ((F.col("_us") - micros(F.to_utc_timestamp(at, F.col("_tz")))) / 1_000_000).cast("int")
+    early = F.col("_us") - one.cast("long") * 1_000_000
+    two = offset_at(early + 3 * 3_600_000_000).cast("int")
+    span = lambda o: F.struct(F.lit(None).cast("long").alias("since"), F.lit(None).cast("long").alias("until"), o.alias("offset"))
+    holds = lambda o: offset_at(F.col("_us") - o.cast("long") * 1_000_000).cast("int") == o
+    by_rule = F.filter(F.array_distinct(F.array(one, two)), holds)
+    beyond = F.col("_beyond") & F.col("_tz").isNotNull()
+    x = x.withColumn("_hit", F.when(beyond, F.transform(by_rule, span)).otherwise(hit))
+    wall_offset = F.when(F.size("_hit") > 0, F.array_max(F.transform("_hit", lambda s: s["offset"]))).otherwise(F.when(beyond, one).otherwise(F.try_element_at(before, F.lit(-1))["offset"]))
     offset = F.coalesce("_offset", F.when(F.col("_hit").isNotNull(), wall_offset))
     status = (
         F.when(F.col("_day_only"), "day_only")

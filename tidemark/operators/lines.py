@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, is_small
 
 # Days that exist, as d/m/yy, d/m/yyyy or yyyy-mm-dd. In two digits 00 is 2000, a leap year, so every fourth is one.
 _LEAP4 = r"(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
@@ -116,7 +116,7 @@ def parse(lines: DataFrame, fields: tuple[Field, ...] = FIXTURE_FIELDS, file: st
     input has besides the three are kept; those with the names of the results are replaced.
 
     A file may hold a large part of all lines: lines are salted, and the one header row per file is repeated for each salt.
-    The patterns are built once per distinct header; up to 1,000 of these (some 20 KB each) are broadcast, more are joined by salt too.
+    The patterns are built once per distinct header; they are broadcast if their bytes are within is_small(), else joined by salt too.
     """
     names = ["valid", "reason", "broken_field", "field_no", *[f.name for f in fields]]
     keep = [F.col(f"`{c}`") for c in lines.columns if c.lower() not in {n.lower() for n in names}]
@@ -126,7 +126,7 @@ def parse(lines: DataFrame, fields: tuple[Field, ...] = FIXTURE_FIELDS, file: st
     salted = heads.withColumn("_salt", every)
     x = body.join(salted, (body["_f"].eqNullSafe(salted["_file"])) & (body["_s"] == salted["_salt"]), "left").drop("_salt")
     known = cut_lineage(schemas(heads, fields))
-    if known.count() <= 1000:
+    if is_small(known):
         x = x.join(F.broadcast(known), F.col("_h") == F.col("_schema"), "left")
     else:
         known = known.withColumn("_salt", every)

@@ -44,8 +44,7 @@ def time_texts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _instants(spark: SparkSession, base: str) -> DataFrame:
-    # distinct zone names: at most the IANA list
-    zones = [r[0] for r in table(spark, base, "leagues").select("tz").where("tz is not null").distinct().collect()]
+    zones = instants.known_zones(table(spark, base, "leagues"), "tz")
     return instants.normalise(time_texts(spark, base), "raw", "tz", instants.zone_intervals(spark, zones))
 
 

@@ -32,7 +32,7 @@ c AS (SELECT *, coalesce(n = want AND day IS NOT NULL AND h BETWEEN 0 AND 30 AND
 _MONTHS = {"janvier": 1, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12,
            "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 _ZONES = {"z": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "cest": 120, "eet": 120, "eest": 180, "jst": 540, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "pst": -480, "pdt": -420}
-_P6 = f"""
+P6 = f"""
 WITH x AS (
   SELECT DISTINCT 'date_str' AS field, match_id AS rec, date_str AS raw, tz FROM matches m LEFT JOIN leagues l ON m.league = l.league
   UNION SELECT DISTINCT 'commence_time', event_id, commence_time, tz FROM api_events a LEFT JOIN leagues l ON a.sport_key = l.sport_key
@@ -79,5 +79,5 @@ ORACLE = {
     "p2_found": _P2 + "SELECT source_file, line_no FROM c WHERE NOT ok",
     "p2_valid": _P2 + "SELECT source_file, line_no, CAST(day AS DATE) AS match_date, home, away, h AS fthg, a AS ftag FROM c WHERE ok",
     "p3_found": _P3,
-    "p6_found": _P6,
+    "p6_found": P6,
 }

@@ -63,14 +63,15 @@ _MAT = {"match:AT_HOME": "at_home", "match:CUP_TIE": "cup_tie"}
 _one = [*_COLS.items(), *_OTH.items(), *_MAT.items()]
 _two = [(f"{a}&{b}", f"{p} AND {q}") for a, p in _COLS.items() for b, q in [*_OTH.items(), *_MAT.items(), *[(k, v) for k, v in _COLS.items() if k > a]]] + [(f"{a}&{b}", f"{p} AND {q}") for a, p in _OTH.items() for b, q in _MAT.items()]
 _three = [(f"{a}&{b}&{d}", f"{p} AND {q} AND {r}", f"{p} AND {q}") for a, p in _COLS.items() for b, q in _OTH.items() for d, r in _MAT.items()]
-SEARCH = COND + """,
+_search = lambda once: COND + """,
 sb AS (SELECT season, least((row_number() OVER (ORDER BY season) - 1) // greatest(1, count(*) OVER () // 3), 2) AS block FROM (SELECT DISTINCT season FROM m)),
 cr AS (SELECT c.*, sb.block, avg(CAST(over25 AS INT)) OVER (PARTITION BY league, c.season, side) AS r FROM c JOIN sb ON c.season = sb.season),
-k AS (""" + " UNION ALL ".join([f"SELECT '{k}' AS combo, block, CAST(over25 AS INT) AS hit, r FROM cr WHERE {w}" for k, w in [*_one, *_two]] + [f"SELECT '{k}', block, CAST(over25 AS INT), r FROM cr WHERE {w} AND (SELECT count(*) FROM cr WHERE {p}) >= 60" for k, w, p in _three]) + """),
+k AS (""" + " UNION ALL ".join([f"SELECT '{k}' AS combo, block, CAST(over25 AS INT) AS hit, r FROM cr WHERE {w}" for k, w in [*((k, w + " AND at_home" if once and k.startswith("match:") else w) for k, w in _one), *_two]] + [f"SELECT '{k}', block, CAST(over25 AS INT), r FROM cr WHERE {w} AND (SELECT count(*) FROM cr WHERE {p}) >= 30" for k, w, p in _three]) + """),
 kb AS (SELECT combo, block, count(*) AS n, sum(hit) AS hits, sum(r) AS ref FROM k GROUP BY combo, block),
 kt AS (SELECT combo, sum(n) AS n, sum(hits) AS hits, sum(ref) AS ref FROM kb GROUP BY combo),
 kr AS (SELECT kt.combo, CAST(kt.n AS BIGINT) AS n, CAST(kt.hits AS BIGINT) AS hits, round(kt.ref, 6) AS ref,
-  (SELECT count(*) FROM kb WHERE kb.combo = kt.combo AND kb.n >= 50 AND sign(round(kb.hits - kb.ref, 9)) = sign(round(kt.hits - kt.ref, 9)) AND sign(round(kt.hits - kt.ref, 9)) <> 0) AS agree FROM kt WHERE kt.n >= 30)"""
+  (SELECT count(*) FROM kb WHERE kb.combo = kt.combo AND kb.n >= 50 AND sign(round(kb.hits - kb.ref, 9)) = sign(round(kt.hits - kt.ref, 9)) AND sign(round(kt.hits - kt.ref, 9)) <> 0) AS agree FROM kt WHERE kt.n >= 30)"""
+SEARCH = _search(False)
 _name = lambda k: k.split(":")[1].removeprefix("adv_")
 _canon = [k for k, *_ in [*_one, *_two, *_three] if not k.startswith("other:") and ("other:" not in k or _name(k.split("&")[0]) <= _name(k.split("&")[1]))]
 _MEET = M + ", p AS (SELECT *, least(home, away) AS pa, greatest(home, away) AS pb FROM m WHERE fthg IS NOT NULL AND ftag IS NOT NULL)"
@@ -116,7 +117,7 @@ SELECT match_id, side, i - min(CASE WHEN safe THEN i END) OVER (PARTITION BY lea
     "g1_base_rates": OC + " " + " UNION ALL ".join(f"SELECT '{o}' AS outcome, league, season, side, round(avg(CAST({o} AS INT)), 6) AS base FROM oc GROUP BY league, season, side" for o in OUT),
     "g2_hypotheses": HYP + " SELECT * FROM hr",
     "x2_search": SEARCH + " SELECT combo, n, hits, ref, agree FROM kr",
-    "x5_search_canonical": SEARCH + " SELECT combo, n, hits, ref, agree FROM kr WHERE combo IN (" + ", ".join(f"'{k}'" for k in _canon) + ")",
+    "x5_search_canonical": _search(True) + " SELECT combo, n, hits, ref, agree FROM kr WHERE combo IN (" + ", ".join(f"'{k}'" for k in _canon) + ")",
     "s3_top_differences": SEARCH + " SELECT combo, n, round(hits / n - ref / n, 6) AS delta FROM kr ORDER BY abs(round(hits / n - ref / n, 6)) DESC, combo LIMIT 20",
     "f12_proportional": M + f" SELECT match_id, round(CASE WHEN {_OK} THEN {_PF} END, 6) AS home_p, round(CASE WHEN {_OK} THEN (1/pscd)/(1/psch+1/pscd+1/psca) END, 6) AS draw_p, round(CASE WHEN {_OK} THEN (1/psca)/(1/psch+1/pscd+1/psca) END, 6) AS away_p FROM m",
     "f15_source_fallback": M + f", s AS (SELECT *, coalesce({_OK}, false) AS c1, coalesce(psh > 1 AND psd > 1 AND psa > 1, false) AS c2 FROM m) SELECT match_id, CASE WHEN c1 THEN psch WHEN c2 THEN psh END AS a, CASE WHEN c1 THEN pscd WHEN c2 THEN psd END AS b, CASE WHEN c1 THEN psca WHEN c2 THEN psa END AS c, CASE WHEN c1 THEN true WHEN c2 THEN false END AS closing FROM s",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fair
 from tidemark.operators import fuzzy, instants, quotes
+from tidemark.plans import core_sql
 from tidemark.plans.form import now, r6
 from tidemark.session import table
 from tidemark.sources import feeds
@@ -18,8 +19,7 @@ PRICE_KEYS = ["event_id", "market", "bookmaker", "description"]
 def _moments(spark, base, o):
     """o with `moment`, the instant of snapshot_ts in microseconds; null where the text fixes none. Each distinct text is parsed once."""
     leagues = table(spark, base, "leagues").select("sport_key", "tz").dropDuplicates(["sport_key"])
-    # distinct zone names: at most the IANA list
-    zones = [r[0] for r in leagues.select("tz").where("tz is not null").distinct().collect()]
+    zones = instants.known_zones(leagues, "tz")
     t = o.select("sport_key", F.col("snapshot_ts").alias("_raw")).where("_raw is not null").distinct().join(leagues, "sport_key", "left")
     t = instants.normalise(t, "_raw", "tz", instants.zone_intervals(spark, zones)).select(F.col("sport_key").alias("_key"), "_raw", F.col("utc_us").alias("moment"))
     return o.join(t, F.col("sport_key").eqNullSafe(F.col("_key")) & (F.col("snapshot_ts") == F.col("_raw")), "left").drop("_key", "_raw")
@@ -148,6 +148,12 @@ def j_stream_dedupe(spark, base):
     return streams.drain(streams.deduped(streams.landed(spark, f"{base}/odds_archive.parquet").select(*key), key), "dedupe")
 
 
+def j_stream_dedupe_within(spark, base):
+    """Each event once, however often it is sent within a day: the stream keeps a day of keys."""
+    x = streams.landed(spark, f"{base}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    return streams.drain(streams.deduped(x, ["event_id"], "ts", "1 day"), "dedupe_within")
+
+
 def j_stream_windows(spark, base):
     """Events per hour and type: the windows that the stream closed, and from the landed rows those still open at its end."""
     path = f"{base}/events.parquet"
@@ -157,20 +163,23 @@ def j_stream_windows(spark, base):
     return w.select("start", "event_type", "n", r6(F.col("total")).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (c9_composite_key, c10_fuzzy_names, c11_settlement, c12_latest_snapshot, c13_nearest_line, c14_anti_join, g9_event_table, g10_scorecard, g11_coverage, g12_figures, f2_season_of, f23_snapshot_decision, f24_budget, f26_gains, s4_upcoming, j_stream_dedupe, j_stream_windows)}
+QUERIES = {f.__name__: f for f in (c9_composite_key, c10_fuzzy_names, c11_settlement, c12_latest_snapshot, c13_nearest_line, c14_anti_join, g9_event_table, g10_scorecard, g11_coverage, g12_figures, f2_season_of, f23_snapshot_decision, f24_budget, f26_gains, s4_upcoming, j_stream_dedupe, j_stream_dedupe_within, j_stream_windows)}
 
 _J = "WITH j AS (SELECT DISTINCT * FROM journal)"
-_L = """WITH o AS (SELECT *, CASE WHEN phase = 'CLOSE' THEN 1 ELSE 0 END AS pr FROM odds_archive WHERE price IS NOT NULL),
-b AS (SELECT *, rank() OVER (PARTITION BY event_id, market, bookmaker, description ORDER BY pr DESC, snapshot_ts DESC) AS r FROM o),
+# instants of the archive's time texts, by the SQL that p6_found is checked against
+_AT = f"moments AS (SELECT DISTINCT rec AS event_id, raw AS snapshot_ts, utc_ms FROM ({core_sql.P6}) WHERE field = 'snapshot_ts' AND utc_ms IS NOT NULL)"
+_L = f"""WITH {_AT}, o AS (SELECT a.*, utc_ms, CASE WHEN phase = 'CLOSE' THEN 1 ELSE 0 END AS pr FROM odds_archive a LEFT JOIN moments USING (event_id, snapshot_ts) WHERE price IS NOT NULL),
+b AS (SELECT *, rank() OVER (PARTITION BY event_id, market, bookmaker, description ORDER BY pr DESC, utc_ms DESC NULLS LAST, CASE WHEN utc_ms IS NULL THEN snapshot_ts END DESC NULLS LAST) AS r FROM o),
 l AS (SELECT DISTINCT event_id, market, bookmaker, description, outcome, point, price FROM b WHERE r = 1)"""
+_CLUBS = "(SELECT league, club FROM clubs UNION SELECT 'CUP', club FROM clubs)"
 _STOP = ", ".join(f"'{w}'" for w in fuzzy.STOP_WORDS)
 _TOK = lambda c: f"list_filter(string_split(trim(regexp_replace(regexp_replace(translate(lower({c}), '{fuzzy._FROM}', '{fuzzy._TO}'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({_STOP}))"
 _M = "m AS (SELECT DISTINCT match_id, league, date, home, away FROM matches)"
 ORACLE = {
-    "c9_composite_key": """WITH e AS (SELECT DISTINCT event_id, league, lower(trim(home_team)) h, lower(trim(away_team)) a FROM api_events JOIN leagues USING (sport_key)), c AS (SELECT DISTINCT league, lower(trim(club)) k FROM clubs)
+    "c9_composite_key": """WITH e AS (SELECT DISTINCT event_id, league, lower(trim(home_team)) h, lower(trim(away_team)) a FROM api_events JOIN leagues USING (sport_key)), c AS (SELECT DISTINCT league, lower(trim(club)) k FROM """ + _CLUBS + """)
 SELECT e.league, count(*) FILTER (c1.k IS NOT NULL AND c2.k IS NOT NULL) AS matched, count(*) FILTER (c1.k IS NULL OR c2.k IS NULL) AS unmatched FROM e LEFT JOIN c c1 ON c1.league = e.league AND c1.k = e.h LEFT JOIN c c2 ON c2.league = e.league AND c2.k = e.a GROUP BY e.league""",
     "c10_fuzzy_names": f"""WITH n AS (SELECT DISTINCT league, u.name FROM api_events JOIN leagues USING (sport_key), (SELECT unnest([home_team, away_team]) AS name) u WHERE u.name IS NOT NULL),
-a AS (SELECT *, {_TOK('name')} AS ta FROM n), r AS (SELECT DISTINCT league, club, {_TOK('club')} AS tb FROM clubs),
+a AS (SELECT *, {_TOK('name')} AS ta FROM n), r AS (SELECT DISTINCT league, club, {_TOK('club')} AS tb FROM {_CLUBS}),
 p AS (SELECT a.league, a.name, r.club, CASE WHEN array_to_string(ta, ' ') = array_to_string(tb, ' ') THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_filter(ta, lambda t: len(list_filter(tb, lambda f: t = f OR (length(t) >= 3 AND starts_with(f, t)) OR (length(f) >= 3 AND starts_with(t, f)))) > 0)) / (len(ta) + len(tb)) END AS s FROM a JOIN r USING (league)),
 q AS (SELECT *, row_number() OVER (PARTITION BY league, name ORDER BY s DESC, club) AS k FROM p WHERE s >= 0.5)
 SELECT a.league, a.name, q.club, round(q.s, 6) AS score FROM a LEFT JOIN q ON a.league = q.league AND a.name = q.name AND q.k = 1""",
@@ -180,7 +189,7 @@ SELECT a.league, a.name, q.club, round(q.s, 6) AS score FROM a LEFT JOIN q ON a.
 q AS (SELECT *, row_number() OVER (PARTITION BY event_id, bookmaker ORDER BY abs(point - 4.5), point) AS k FROM p)
 SELECT event_id, bookmaker, point AS level, o AS over, u AS under, round(CASE WHEN o > 1 AND u > 1 THEN (1/o)/(1/o+1/u) END, 6) AS fair_over FROM q WHERE k = 1""",
     "c14_anti_join": "SELECT DISTINCT event_id, candidat, team_fd FROM journal j WHERE NOT EXISTS (SELECT 1 FROM journal k WHERE k.regle AND k.event_id = j.event_id AND k.candidat = j.candidat AND k.team_fd = j.team_fd)",
-    "g9_event_table": "SELECT event_id, sport_key, commence_time, home, away FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY snapshot_ts, sport_key, commence_time, home, away) AS k FROM odds_archive) WHERE k = 1",
+    "g9_event_table": f"WITH {_AT} SELECT event_id, sport_key, commence_time, home, away FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY utc_ms IS NULL, utc_ms, CASE WHEN utc_ms IS NULL THEN snapshot_ts END, sport_key, commence_time, home, away) AS k FROM odds_archive LEFT JOIN moments USING (event_id, snapshot_ts)) WHERE k = 1",
     "g10_scorecard": _J + ", d AS (SELECT *, regle AND issue IS NOT NULL AS ok FROM j), g AS (SELECT candidat, count(*) FILTER (ok) AS n, CAST(coalesce(sum(CAST(issue AS INT)) FILTER (ok), 0) AS BIGINT) AS hits, avg(juste_pinnacle) FILTER (ok) AS f, sum(CAST(round(gain_pin * 100) AS BIGINT)) FILTER (ok) / (100 * count(gain_pin) FILTER (ok)) AS roi FROM d GROUP BY candidat) SELECT candidat, n, hits, round(f, 6) AS fair, round(hits / nullif(n, 0) - f, 6) AS edge, round(roi, 6) AS roi FROM g",
     "g11_coverage": "SELECT market, bookmaker, count(DISTINCT event_id) AS events FROM odds_archive GROUP BY market, bookmaker",
     "g12_figures": _J + " SELECT count(*) AS signals, count(*) FILTER (regle) AS settled, count(DISTINCT event_id) AS events, round(avg(gain_fr), 6) AS mean_gain FROM j",
@@ -189,5 +198,7 @@ SELECT event_id, bookmaker, point AS level, o AS over, u AS under, round(CASE WH
     "f24_budget": "WITH s AS (SELECT event_id, count(DISTINCT snapshot_ts) AS shots FROM odds_archive GROUP BY event_id) SELECT event_id, CAST(16 * sum(shots) OVER (ORDER BY event_id) AS BIGINT) AS cost, 16 * sum(shots) OVER (ORDER BY event_id) <= 15000 AS admitted FROM s",
     "f26_gains": _J + " SELECT event_id, candidat, team_fd, round(CASE WHEN issue THEN prix_pinnacle - 1 WHEN NOT issue THEN -1 END, 6) AS pin, round(CASE WHEN issue THEN greatest(prix_winamax, prix_unibet) - 1 WHEN NOT issue THEN -1 END, 6) AS fr FROM j",
     "s4_upcoming": _J + " SELECT event_id, candidat, team_fd, league FROM j WHERE NOT regle ORDER BY commence, event_id, candidat, team_fd LIMIT 12",
+    "j_stream_dedupe_within": "SELECT DISTINCT event_id, ts, user_id, event_type FROM events",
+    "j_stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     "j_stream_dedupe": "SELECT DISTINCT snapshot_ts, event_id, bookmaker, market, outcome, point FROM odds_archive",
 }

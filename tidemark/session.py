@@ -36,9 +36,11 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A machine-local one is used only where none is configured (tests)."""
+    """The folder all executors share. Only a local session, whose executors are this process, may go without a configured one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tidemark_ckpt_")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
@@ -75,7 +77,13 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
-def checked_broadcast(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """df computed once and, if it has `most` rows at the most, marked for broadcast; beyond that the join is shuffled."""
+def is_small(df: DataFrame, most_bytes: int = 16_000_000) -> bool:
+    """Whether df (computed already: a checkpoint or a staged table) holds `most_bytes` at the most, as text."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    return (df.agg(size).first()[0] or 0) <= most_bytes
+
+
+def checked_broadcast(df: DataFrame, most_bytes: int = 16_000_000) -> DataFrame:
+    """df computed once and, if it has `most_bytes` at the most, marked for broadcast; beyond that the join is shuffled. Rows are the same either way."""
     df = cut_lineage(df)
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if is_small(df, most_bytes) else df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import re
 import uuid
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 ODDS = "id string, sport_key string, commence_time string, home_team string, away_team string, bookmakers array<struct<key:string, markets:array<struct<key:string, outcomes:array<struct<name:string, price:double, point:double, description:string>>>>>>"
 
@@ -31,20 +32,36 @@ def day_first(text: Column) -> Column:
     return F.when(F.length(year) == 4, F.try_to_date(text, "d/M/yyyy")).when(F.length(year) == 2, F.try_to_date(text, "d/M/yy"))
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "ISO-8859-1")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def csv_files(spark: SparkSession, paths: list[str], rename: dict[str, str], required: list[str], numbers: list[str], zeros: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """The union of CSV files whose headers differ. Files without a required column are skipped, lines that do not parse are dropped.
 
     Columns absent from a file are null; `numbers` become doubles or null, those in `zeros` 0 instead; rows lacking a required value go.
-    Only headers are looked at on the driver.
+    The driver reads the first line of each file and no more; files of one header are read as one source, so the plan
+    grows with the number of different headers, not of files.
     """
     wanted = list(dict.fromkeys([*required, *numbers, *keep]))
-    out = None
+    by_header: dict[str, list[str]] = {}
     for p in paths:
-        df = spark.read.csv(p, header=True, encoding="ISO-8859-1", mode="DROPMALFORMED")
-        df = df.withColumnsRenamed({c: rename[c] for c in df.columns if c in rename})
-        if not set(required) <= set(df.columns):
+        by_header.setdefault(_first_line(spark, p), []).append(p)
+    out = None
+    for header, files in by_header.items():
+        names = [n.strip() for n in next(csv.reader([header.removeprefix("\u00ef\u00bb\u00bf")]), [])]
+        columns = [rename.get(n, n) for n in names]
+        if not set(required) <= set(columns):
             continue
-        df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
+        df = spark.read.csv(files, schema=schema, header=True, encoding="ISO-8859-1", mode="DROPMALFORMED", enforceSchema=True)
+        df = df.select(*[F.col(f"c{columns.index(c)}").alias(c) if c in columns else F.lit(None).cast("string").alias(c) for c in wanted])
         out = df if out is None else out.unionByName(df)
     if out is None:
         return spark.createDataFrame([], ", ".join(f"`{c}` {'double' if c in numbers else 'string'}" for c in wanted))
@@ -74,14 +91,21 @@ def embedded_json(html: Column, variable: str) -> Column:
     return pandas_udf(unescape, StringType())(F.when(found != "", found))
 
 
+def months_of(spark: SparkSession, path: str, months: list) -> DataFrame:
+    """The rows of a table partitioned by month in the given months (null among them or not): other folders are not read."""
+    known = F.col("month").isin([m for m in months if m is not None])
+    return spark.read.parquet(path).where(known | F.col("month").isNull() if None in months else known)
+
+
 def append_months(spark: SparkSession, new: DataFrame, path: str, key: list[str], month: Column) -> int:
     """Adds the rows of `new` whose key its month lacks; returns how many. Only the months concerned are read and new files are added,
-    so a failed run leaves nothing half written and a repeated run adds nothing."""
-    x = new.withColumn("month", month).dropDuplicates([*key, "month"])
+    so a failed run leaves nothing half written and a repeated run adds nothing. The months of `new` (few) are fetched to prune."""
+    x = new.withColumn("month", month.cast("string")).dropDuplicates([*key, "month"])
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        old = spark.read.parquet(path).select(*key, "month")
+        months = [r[0] for r in x.select("month").distinct().collect()]
+        old = months_of(spark, path, months).select(*key, F.col("month").cast("string").alias("month"))
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*key, "month"]]
         x = x.alias("n").join(old.alias("o"), same, "left_anti")
     n = x.count()

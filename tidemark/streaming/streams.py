@@ -30,8 +30,10 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def deduped(stream: DataFrame, key: list[str]) -> DataFrame:
-    return stream.dropDuplicates(key)
+def deduped(stream: DataFrame, key: list[str], at: str | None = None, late: str | None = None) -> DataFrame:
+    """The first row of each key. With a time column and a delay the state is dropped once the watermark has passed a key's row by that
+    delay, within which repeats are recognised; without, every key is kept for the life of the stream."""
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key) if at else stream.dropDuplicates(key)
 
 
 def tumbling(stream: DataFrame, at: str, late: str, width: str, by: list[str], value: str) -> DataFrame:
