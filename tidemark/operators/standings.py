@@ -1,7 +1,8 @@
-"""Running league tables: every entity of a group as of each match, as a grid of matches and entities.
+"""Running league tables: the state of every entity of a group at the start of each day on which the group plays.
 
-The fold over results becomes sums: in the grid each entity has what it earned in each match, its state before a match is the sum
-over the matches before it. A league-season has few entities, so the grid is matches times some twenty.
+The fold over results becomes sums over earlier days. All matches of a day see one table, so there are days times entities
+rows, of the order of the matches themselves, and two rows a match come out; a group of many entities that meet seldom (a cup)
+does not multiply its matches by its entities. grid() gives the sequential fold, in which matches of a day see each other.
 """
 
 from __future__ import annotations
@@ -37,9 +38,42 @@ def grid(matches: DataFrame, group: list[str], match_id: str = "match_id", day:
     return x.select("*", rank.cast("long").alias("rank"), F.count(F.lit(1)).over(per_match).alias("n_teams"))
 
 
+def by_day(matches: DataFrame, group: list[str], day: str = "date", home: str = "home", away: str = "away", gf: str = "fthg", ga: str = "ftag") -> DataFrame:
+    """(group, day, team, pts, gd, gf, played, rank, n_teams) at the start of each day of the group, for all its teams.
+
+    A match without both goals earns nothing; matches without a day or group are left out. rank: points, goal difference, goals, then name.
+    """
+    side = lambda t, f, a: F.struct(F.col(t).alias("team"), F.col(f).alias("_f"), F.col(a).alias("_a"))
+    x = matches.where(F.col(day).isNotNull()).select(*group, day, F.inline(F.array(side(home, gf, ga), side(away, ga, gf))))
+    margin = F.col("_f") - F.col("_a")
+    earned = {"pts": F.when(margin > 0, 3).when(margin == 0, 1).otherwise(0), "gd": F.coalesce(margin, F.lit(0)), "gf": F.when(margin.isNotNull(), F.col("_f")).otherwise(0), "played": F.when(margin.isNotNull(), 1).otherwise(0)}
+    x = x.groupBy(*group, "team", day).agg(*[F.sum(v).cast("long").alias(k) for k, v in earned.items()])
+    # each team's days, merged into all days of its group
+    own = x.groupBy(*group, "team").agg(F.map_from_entries(F.collect_list(F.struct(day, F.struct(*earned)))).alias("_own"))
+    days = x.groupBy(*group).agg(F.collect_set(day).alias("_days"), F.count_distinct("team").alias("n_teams"))
+    x = own.join(days, group).select(*group, "team", "n_teams", "_own", F.explode("_days").alias(day))
+    x = x.select(*group, day, "team", "n_teams", *[F.col("_own")[F.col(day)][k].alias(f"_{k}") for k in earned])
+    w = Window.partitionBy(*group, "team").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.select(*group, day, "team", "n_teams", *[F.coalesce(F.sum(f"_{k}").over(w), F.lit(0)).cast("long").alias(k) for k in earned])
+    rank = F.row_number().over(Window.partitionBy(*group, day).orderBy(F.desc("pts"), F.desc("gd"), F.desc("gf"), "team"))
+    return x.select(*group, day, "team", "pts", "gd", "gf", "played", rank.cast("long").alias("rank"), "n_teams")
+
+
+def sides(matches: DataFrame, table: DataFrame, group: list[str], match_id: str = "match_id", day: str = "date", home: str = "home", away: str = "away") -> DataFrame:
+    """The two sides of each match with their rows of a table by day: (match_id, side, group, day, team, table's columns)."""
+    side = lambda name, c: F.struct(F.lit(name).alias("side"), F.col(c).alias("team"))
+    x = matches.select(match_id, *group, day, F.inline(F.array(side("home", home), side("away", away))))
+    return x.join(table, [*group, day, "team"])
+
+
 def stakes(table: DataFrame, group: list[str], zones: DataFrame, zone_key: str, match_id: str = "match_id") -> DataFrame:
-    """The grid with what is still open: rounds left, how many can no longer be caught or can no longer catch up, points at zone borders."""
+    """The table with what is still open: rounds left, how many can no longer be caught or can no longer catch up, points at zone borders.
+
+    match_id names the moment that a table's rows share: a match in grid(), the day in by_day(). zones: zone_key, releg_spots and, if
+    there are, promo_spots and europe_spots.
+    """
     w = Window.partitionBy(*group, match_id)
+    more = [c for c in ("promo_spots", "europe_spots") if c in zones.columns]
     x = table.join(zones, zone_key, "left").withColumn("left_rounds", 2 * (F.col("n_teams") - 1) - F.col("played"))
     x = x.withColumn("most", F.col("pts") + 3 * F.col("left_rounds"))
     # teams by points held and by points still possible: far fewer values than teams
@@ -53,10 +87,14 @@ def stakes(table: DataFrame, group: list[str], zones: DataFrame, zone_key: str,
     x = x.select(
         "*", above.alias("out_of_reach"), below.alias("beaten"), at(F.lit(1)).alias("pts_first"),
         at(F.col("n_teams") - F.col("releg_spots")).alias("pts_last_safe"), at(F.col("n_teams") - F.col("releg_spots") + 1).alias("pts_first_down"),
+        *[at(F.col(c)).alias(f"pts_{c.removesuffix('_spots')}") for c in more],
     )
     return x.drop("_held", "_most").select(
         "*",
         (F.col("out_of_reach") >= F.col("n_teams") - F.col("releg_spots")).alias("surely_down"),
         (F.col("beaten") >= F.col("releg_spots")).alias("surely_safe"),
         (F.col("out_of_reach") >= 1).alias("title_gone"),
+        *([((F.col("promo_spots") > 0) & (F.col("beaten") >= F.col("n_teams") - F.col("promo_spots"))).alias("surely_up"), ((F.col("promo_spots") > 0) & (F.col("out_of_reach") >= F.col("promo_spots"))).alias("up_gone")] if "promo_spots" in more else []),
+        (F.col("rank") <= F.floor(F.col("n_teams") / 2)).alias("top_half"),
+        (F.col("rank") > F.col("n_teams") - F.greatest(F.lit(1), F.floor(F.col("n_teams") / 3))).alias("bottom_third"),
     )

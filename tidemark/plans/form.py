@@ -12,7 +12,9 @@ from tidemark.session import table
 
 INTS = ["fthg", "ftag", "hthg", "htag", "hy", "ay", "hr", "ar"]
 PRICES = ["psh", "psd", "psa", "psch", "pscd", "psca", "p_o25", "p_u25", "pc_o25", "pc_u25"]
-TEAM, ORDER = ["team"], ["date", "match_id"]
+TEAM, ORDER, GROUP = ["team"], ["date", "match_id"], ["league", "season"]
+PLAYED = "played"  # the column that says whether a row counts
+# What each outcome token means, seen from one side.
 OUTCOMES = {
     "win_own": "gf > ga", "win_other": "ga > gf", "not_lost": "gf >= ga", "not_won": "ga >= gf", "over25": "gf + ga >= 3", "under25": "gf + ga <= 2", "over35": "gf + ga >= 4",
     "under15": "gf + ga <= 1", "both_score": "gf > 0 AND ga > 0", "half_over05": "ht_gf + ht_ga >= 1", "half_over15": "ht_gf + ht_ga >= 2", "half_none": "ht_gf + ht_ga = 0",
@@ -28,12 +30,12 @@ def now(spark: SparkSession, base: str) -> DataFrame:
 
 
 def long(spark: SparkSession, base: str) -> DataFrame:
-    """One row per match and side, with derived columns; an unplayed match counts as neither won, drawn nor lost."""
+    """One row per match and side, with derived columns; an unplayed match is neither won, drawn nor lost, and not `played`."""
     m = now(spark, base).withColumns({"hc": F.coalesce("hy", F.lit(0)) + F.coalesce("hr", F.lit(0)), "ac": F.coalesce("ay", F.lit(0)) + F.coalesce("ar", F.lit(0))})
     swapped = {"team": ("home", "away"), "opp": ("away", "home"), "gf": ("fthg", "ftag"), "ga": ("ftag", "fthg"), "ht_gf": ("hthg", "htag"), "ht_ga": ("htag", "hthg"), "cards": ("hc", "ac"), "cards_opp": ("ac", "hc"), "price": ("psh", "psa")}
     x = pairs.two_sided(m, ["match_id", "league", "season", "date", "referee", "psch", "pscd", "psca"], swapped)
     no = lambda c: F.coalesce(c, F.lit(False))
-    return x.withColumns({"win": no(F.col("gf") > F.col("ga")), "loss": no(F.col("gf") < F.col("ga")), "draw": no(F.col("gf") == F.col("ga")), "margin": F.col("gf") - F.col("ga"), "total": F.col("gf") + F.col("ga")})
+    return x.withColumns({"win": no(F.col("gf") > F.col("ga")), "loss": no(F.col("gf") < F.col("ga")), "draw": no(F.col("gf") == F.col("ga")), "margin": F.col("gf") - F.col("ga"), "total": F.col("gf") + F.col("ga"), "played": F.col("gf").isNotNull() & F.col("ga").isNotNull()})
 
 
 def r6(c: Column) -> Column:
@@ -60,46 +62,46 @@ def b1_two_sided(spark, base):
 
 
 def b7_opponent_view(spark, base):
-    x = pit.streak_before(long(spark, base), TEAM, ORDER, F.col("win"), "run")
+    x = pit.streak_before(long(spark, base), TEAM, ORDER, F.col("win"), "run", PLAYED)
     return pairs.opponent_view(x.select("match_id", "side", "run"), "match_id", ["run"])
 
 
 def w1_streak_before(spark, base):
     x = long(spark, base)
     for name, flag in (("won", F.col("win")), ("winless", ~F.col("win")), ("drawn", F.col("draw")), ("goalless", F.coalesce(F.col("gf") == 0, F.lit(False)))):
-        x = pit.streak_before(x, TEAM, ORDER, flag, name)
+        x = pit.streak_before(x, TEAM, ORDER, flag, name, PLAYED)
     return x.select("match_id", "side", "won", "winless", "drawn", "goalless")
 
 
 def w2_rolling_prev(spark, base):
     ind = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    x = pit.rolling_prev(long(spark, base), TEAM, ORDER, {"gf_l5": (F.col("gf"), "avg"), "ga_l5": (F.col("ga"), "avg"), "cards_l5": (F.col("cards"), "avg"), "gf_max_l5": (F.col("gf"), "max")}, 5)
-    x = pit.rolling_prev(x, TEAM, ORDER, {"won_l3": (F.col("win").cast("int"), "sum")}, 3)
-    x = pit.rolling_prev(x, TEAM, ORDER, {"over35_l4": (ind(F.col("total") >= 4), "sum"), "half_l4": (ind(F.col("ht_gf") + F.col("ht_ga") >= 2), "sum"), "gf_std_l4": (F.col("gf"), "std")}, 4)
+    x = pit.rolling_prev(long(spark, base), TEAM, ORDER, {"gf_l5": (F.col("gf"), "avg"), "ga_l5": (F.col("ga"), "avg"), "cards_l5": (F.col("cards"), "avg"), "gf_max_l5": (F.col("gf"), "max")}, 5, played=PLAYED)
+    x = pit.rolling_prev(x, TEAM, ORDER, {"won_l3": (F.col("win").cast("int"), "sum")}, 3, played=PLAYED)
+    x = pit.rolling_prev(x, TEAM, ORDER, {"over35_l4": (ind(F.col("total") >= 4), "sum"), "half_l4": (ind(F.col("ht_gf") + F.col("ht_ga") >= 2), "sum"), "gf_std_l4": (F.col("gf"), "std")}, 4, played=PLAYED)
     return x.select("match_id", "side", *[r6(F.col(c)).alias(c) for c in ("gf_l5", "ga_l5", "cards_l5", "gf_std_l4")], "gf_max_l5", "won_l3", "over35_l4", "half_l4")
 
 
 def w3_lags(spark, base):
-    x = pit.lagged(pit.lagged(long(spark, base), TEAM, ORDER, "margin", [1, 2, 3]), TEAM, ORDER, "price", [1])
+    x = pit.lagged(pit.lagged(long(spark, base), TEAM, ORDER, "margin", [1, 2, 3], PLAYED), TEAM, ORDER, "price", [1], PLAYED)
     return x.select("match_id", "side", "margin_m1", "margin_m2", "margin_m3", "price_m1")
 
 
 def w9_rest_days(spark, base):
-    w = pit.over(TEAM, ORDER)
-    return long(spark, base).select("match_id", "side", F.datediff("date", F.lag("date").over(w)).cast("long").alias("rest"))
+    x = pit.lagged(long(spark, base), TEAM, ORDER, "date", [1], PLAYED)
+    return x.select("match_id", "side", F.datediff("date", "date_m1").cast("long").alias("rest"))
 
 
 def w11_venue_streak(spark, base):
-    return pit.streak_before(long(spark, base), ["team", "side"], ORDER, F.col("win"), "run").select("match_id", "side", "run")
+    return pit.streak_before(long(spark, base), ["team", "side"], ORDER, F.col("win"), "run", PLAYED).select("match_id", "side", "run")
 
 
 def w12_season_to_date(spark, base):
-    x = pit.to_date(long(spark, base), ["team", "side", "season"], ORDER, F.col("win").cast("int"), "won")
+    x = pit.to_date(long(spark, base), ["team", "side", "season"], ORDER, F.col("win").cast("int"), "won", PLAYED)
     return x.select("match_id", "side", r6(F.col("won_mean")).alias("won_mean"), "won_n")
 
 
 def w16_offset_window(spark, base):
-    x = pit.rolling_prev(long(spark, base), TEAM, ORDER, {"gf_l6_10": (F.col("gf"), "avg")}, 5, offset=5)
+    x = pit.rolling_prev(long(spark, base), TEAM, ORDER, {"gf_l6_10": (F.col("gf"), "avg")}, 5, offset=5, played=PLAYED)
     return x.select("match_id", "side", r6(F.col("gf_l6_10")).alias("gf_l6_10"))
 
 
@@ -107,7 +109,7 @@ def w17_season_end(spark, base):
     """Win rate over the last 8 matches of each season, and how many of the three seasons before had one of 0.65 at least."""
     x = long(spark, base)
     w = Window.partitionBy("team", "season").orderBy(F.desc("date"), F.desc("match_id"))
-    last = x.withColumn("_n", F.row_number().over(w)).where("_n <= 8").groupBy("team", "season").agg(F.avg(F.col("win").cast("int")).alias("rate"), F.count("*").alias("_k")).where("_k = 8")
+    last = x.where(PLAYED).withColumn("_n", F.row_number().over(w)).where("_n <= 8").groupBy("team", "season").agg(F.avg(F.col("win").cast("int")).alias("rate"), F.count("*").alias("_k")).where("_k = 8")
     numbered = x.select("season").distinct().select("season", F.row_number().over(Window.orderBy("season")).alias("i"))  # the seasons, a few
     mine = x.select("team", "season").distinct().join(numbered, "season")
     past = last.join(numbered, "season").select("team", F.col("i").alias("pi"), "rate")
@@ -118,64 +120,125 @@ def w17_season_end(spark, base):
 
 
 def _meetings(spark, base):
-    return now(spark, base).select("match_id", "date", "home", "away", "fthg", "ftag", *pairs.unordered(F.col("home"), F.col("away"))).where("fthg is not null and ftag is not null")
+    return now(spark, base).select("match_id", "date", "home", "away", "fthg", "ftag", (_cards()).alias("cards"), (F.col("fthg").isNotNull() & F.col("ftag").isNotNull()).alias("played"), *pairs.unordered(F.col("home"), F.col("away")))
+
+
+def _cards():
+    return sum((F.coalesce(F.col(c), F.lit(0)) for c in ("ay", "hr", "ar")), F.coalesce(F.col("hy"), F.lit(0)))
+
+
+def _n(c):
+    return F.coalesce(c, F.lit(0))
+
+
+PAIR = ["pair_a", "pair_b"]
 
 
 def w18_pair_last5(spark, base):
-    w = pit.over(["pair_a", "pair_b"], ORDER).rowsBetween(-5, -1)
-    return _meetings(spark, base).select("match_id", F.count("*").over(w).alias("n"), F.coalesce(F.sum(((F.col("fthg") > 0) & (F.col("ftag") > 0)).cast("int")).over(w), F.lit(0)).alias("both"), F.coalesce(F.sum((F.col("fthg") + F.col("ftag") <= 2).cast("int")).over(w), F.lit(0)).alias("under"))
+    x, w, past = pit.before(_meetings(spark, base), PAIR, ORDER, PLAYED, -5, -1)
+    count = lambda c: _n(F.sum(past(c.cast("int"))).over(w))
+    return x.select("match_id", F.count(past(F.lit(1))).over(w).alias("n"), count((F.col("fthg") > 0) & (F.col("ftag") > 0)).alias("both"), count(F.col("fthg") + F.col("ftag") <= 2).alias("under"))
 
 
 def w19_same_host(spark, base):
-    w = pit.over(["home", "away"], ORDER)
-    return _meetings(spark, base).select("match_id", F.count("*").over(w.rowsBetween(-3, -1)).alias("n3"), F.coalesce(F.sum((F.col("fthg") > F.col("ftag")).cast("int")).over(w.rowsBetween(-3, -1)), F.lit(0)).alias("host_won"), F.coalesce(F.sum((F.col("ftag") > F.col("fthg")).cast("int")).over(w.rowsBetween(-5, -1)), F.lit(0)).alias("guest_won"))
+    x, w3, past = pit.before(_meetings(spark, base), ["home", "away"], ORDER, PLAYED, -3, -1)
+    x, w5, _ = pit.before(x, ["home", "away"], ORDER, PLAYED, -5, -1)
+    count = lambda c, w: _n(F.sum(past(c.cast("int"))).over(w))
+    return x.select("match_id", F.count(past(F.lit(1))).over(w3).alias("n3"), count(F.col("fthg") > F.col("ftag"), w3).alias("host_won"), count(F.col("ftag") > F.col("fthg"), w5).alias("guest_won"))
 
 
 def w20_last_loser(spark, base):
     """Who lost the last meeting by two goals at least."""
-    w = pit.over(["pair_a", "pair_b"], ORDER)
     loser = F.when(F.col("fthg") - F.col("ftag") >= 2, F.col("away")).when(F.col("ftag") - F.col("fthg") >= 2, F.col("home"))
-    return _meetings(spark, base).select("match_id", F.lag(loser).over(w).alias("loser"))
+    return pit.lagged(_meetings(spark, base).withColumn("loser", loser), PAIR, ORDER, "loser", [1], PLAYED).select("match_id", F.col("loser_m1").alias("loser"))
+
+
+def w21_pair_cards(spark, base):
+    """Mean cards of the last five meetings, of three at least."""
+    x = pit.rolling_prev(_meetings(spark, base), PAIR, ORDER, {"m": (F.col("cards"), "avg")}, 5, least=3, played=PLAYED)
+    return x.select("match_id", r6(F.col("m")).alias("cards_mean"))
 
 
 def w22_range_history(spark, base):
     """Mean cards and matches of the referee in the 730 days before."""
-    m = now(spark, base).where("referee is not null and fthg is not null").withColumn("cards", sum((F.coalesce(F.col(c), F.lit(0)) for c in ("ay", "hr", "ar")), F.coalesce(F.col("hy"), F.lit(0))))
+    m = now(spark, base).where("referee is not null").withColumn("cards", F.when(F.col("fthg").isNotNull(), _cards()))
     x = pit.range_history(m, ["referee"], F.unix_date("date"), 730, F.col("cards"), "cards")
     return x.select("match_id", r6(F.col("cards_mean")).alias("cards_mean"), "cards_n")
 
 
+def w4_streak_earlier(spark, base):
+    """The winless run as it stood three matches before."""
+    x = pit.streak_before(long(spark, base), TEAM, ORDER, ~F.col("win"), "winless", PLAYED)
+    return pit.lagged(x, TEAM, ORDER, "winless", [3], PLAYED).select("match_id", "side", "winless_m3")
+
+
+def _halves(x: DataFrame) -> DataFrame:
+    """Windows over the halves: four matches, and five for what was conceded."""
+    ind = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    half, late = F.col("ht_gf") + F.col("ht_ga"), F.col("gf") - F.col("ht_gf")
+    x = pit.rolling_prev(x, TEAM, ORDER, {"ga2_l5": (ind(F.col("ga") >= 2), "sum"), "ht_ga_l5": (F.col("ht_ga"), "sum")}, 5, played=PLAYED)
+    return pit.rolling_prev(x, TEAM, ORDER, {
+        "ht_for": (ind(F.col("ht_gf") > 0), "sum"), "ht_gf_l4": (F.col("ht_gf"), "avg"), "ht_against": (ind(F.col("ht_ga") > 0), "sum"), "ht_ga_l4": (F.col("ht_ga"), "avg"), "late_for": (ind(late > 0), "sum"), "late_diff": (late - (F.col("ga") - F.col("ht_ga")), "avg"),
+        "h15_l4": (ind(half >= 2), "sum"), "h0_l4": (ind(half == 0), "sum"), "o35_l4": (ind(F.col("total") >= 4), "sum"), "u15_l4": (ind(F.col("total") <= 1), "sum"),
+    }, 4, played=PLAYED)
+
+
+HALVES = ["ga2_l5", "ht_ga_l5", "ht_for", "ht_gf_l4", "ht_against", "ht_ga_l4", "late_for", "late_diff", "h15_l4", "h0_l4", "o35_l4", "u15_l4"]
+
+
+def w8_halves(spark, base):
+    return _halves(long(spark, base)).select("match_id", "side", *[r6(F.col(c)).alias(c) if c.endswith(("gf_l4", "ga_l4", "diff")) else c for c in HALVES])
+
+
+def w14_home_last10(spark, base):
+    """Goals conceded and clean sheets over the last ten matches at home."""
+    x = pit.rolling_prev(long(spark, base), ["team", "side"], ORDER, {"ga_l10": (F.col("ga"), "avg"), "clean_l10": ((F.col("ga") == 0).cast("int"), "sum")}, 10, played=PLAYED)
+    return x.where("side = 'home'").select("match_id", r6(F.col("ga_l10")).alias("ga_l10"), "clean_l10")
+
+
 def w24_first_since(spark, base):
-    return pit.first_since(long(spark, base), ["team", "season"], ORDER, F.col("margin") <= -3, "since").select("match_id", "side", "since")
+    return pit.first_since(long(spark, base), ["team", "season"], ORDER, F.col("margin") <= -3, "since", PLAYED).select("match_id", "side", "since")
 
 
 def e1_standings(spark, base):
-    t = standings.grid(now(spark, base), ["league", "season"], strict=False)
-    return t.select("match_id", "team", "pts", "gd", "gf", "played", "rank")
+    """The sequential fold: matches of a day see those of the same day before them."""
+    t = standings.grid(now(spark, base), GROUP, strict=False)
+    m = now(spark, base).select("match_id", F.explode(F.array("home", "away")).alias("team"))
+    return t.join(m, ["match_id", "team"]).select("match_id", "team", "pts", "gd", "gf", "played", "rank")
 
 
 def e1_standings_strict(spark, base):
-    t = standings.grid(now(spark, base), ["league", "season"])
-    return t.select("match_id", "team", "pts", "gd", "gf", "played", "rank")
+    m = now(spark, base)
+    return standings.sides(m, standings.by_day(m, GROUP), GROUP).select("match_id", "team", "pts", "gd", "gf", "played", "rank")
+
+
+def _stakes(spark, base):
+    z = table(spark, base, "leagues").select("league", "releg_spots", "promo_spots", "europe_spots").dropDuplicates(["league"])
+    m = now(spark, base)
+    return standings.sides(m, standings.stakes(standings.by_day(m, GROUP), GROUP, z, "league", "date"), GROUP)
 
 
 def e7_stakes(spark, base):
-    z = table(spark, base, "leagues").select("league", "releg_spots").dropDuplicates(["league"])
-    t = standings.stakes(standings.grid(now(spark, base), ["league", "season"]), ["league", "season"], z, "league")
-    return t.select("match_id", "team", "left_rounds", "out_of_reach", "beaten", "pts_first", "pts_last_safe", "pts_first_down", "surely_down", "surely_safe", "title_gone")
+    return _stakes(spark, base).select("match_id", "team", "left_rounds", "out_of_reach", "beaten", "pts_first", "pts_last_safe", "pts_first_down", "pts_promo", "pts_europe", "surely_down", "surely_safe", "title_gone", "surely_up", "up_gone", "top_half", "bottom_third")
 
 
-def w23_record_vs_top(spark, base):
-    """Points-taking record of each side against opponents then in the top half, before each match of the season."""
-    t = standings.grid(now(spark, base), ["league", "season"], strict=False).select("match_id", F.col("team").alias("opp"), (F.col("rank") <= F.floor(F.col("n_teams") / 2)).alias("top"))
-    x = long(spark, base).join(t, ["match_id", "opp"])
+def _records(x: DataFrame, spark, base) -> DataFrame:
+    """x (sides of matches) with the season's record so far against opponents then in the top half and in the bottom third."""
+    m = now(spark, base)
+    t = standings.sides(m, standings.by_day(m, GROUP), GROUP).select("match_id", F.col("team").alias("opp"), (F.col("rank") <= F.floor(F.col("n_teams") / 2)).alias("_top"), (F.col("rank") > F.col("n_teams") - F.greatest(F.lit(1), F.floor(F.col("n_teams") / 3))).alias("_bottom"))
+    x = x.join(t, ["match_id", "opp"], "left")
     w = pit.over(["team", "season"], ORDER).rowsBetween(*pit.PAST)
-    played = F.col("top") & F.col("gf").isNotNull()
-    return x.select("match_id", "side", F.coalesce(F.sum((played & (F.col("win") | F.col("draw"))).cast("int")).over(w), F.lit(0)).alias("taken"), F.coalesce(F.sum(played.cast("int")).over(w), F.lit(0)).alias("n"))
+    total = lambda c: _n(F.sum(F.coalesce(c & F.col(PLAYED), F.lit(False)).cast("int")).over(w))
+    return x.select("*", total(F.col("_top")).alias("top_n"), total(F.col("_top") & (F.col("win") | F.col("draw"))).alias("top_taken"), total(F.col("_bottom")).alias("low_n"), total(F.col("_bottom") & F.col("win")).alias("low_won"))
+
+
+def w23_record_vs_top(spark, base):
+    return _records(long(spark, base), spark, base).select("match_id", "side", "top_taken", "top_n", "low_won", "low_n")
 
 
 def _outcomes(spark, base):
-    return long(spark, base).withColumns({k: F.coalesce(F.expr(v), F.lit(False)) for k, v in OUTCOMES.items()})
+    """Sides of matches with all outcomes, null where there is no result."""
+    return long(spark, base).withColumns({k: F.when(F.col(PLAYED), F.expr(v)) for k, v in OUTCOMES.items()})
 
 
 def l_outcomes(spark, base):
@@ -188,9 +251,9 @@ def g1_base_rates(spark, base):
 
 def _conditions(spark, base):
     x = _outcomes(spark, base)
-    x = pit.streak_before(x, TEAM, ORDER, ~F.col("win"), "winless")
-    x = pit.streak_before(x, TEAM, ORDER, F.col("win"), "won")
-    x = pit.rolling_prev(x, TEAM, ORDER, {"gf_l5": (F.col("gf"), "sum"), "ga_l5": (F.col("ga"), "sum")}, 5)
+    x = pit.streak_before(x, TEAM, ORDER, ~F.col("win"), "winless", PLAYED)
+    x = pit.streak_before(x, TEAM, ORDER, F.col("win"), "won", PLAYED)
+    x = pit.rolling_prev(x, TEAM, ORDER, {"gf_l5": (F.col("gf"), "sum"), "ga_l5": (F.col("ga"), "sum")}, 5, played=PLAYED)
     no = lambda c: F.coalesce(c, F.lit(False))
     x = x.withColumns({"LONG_WINLESS": no(F.col("winless") >= 3), "WINNING": no(F.col("won") >= 2), "SCORING": no(F.col("gf_l5") >= 8), "LEAKING": no(F.col("ga_l5") >= 8), "AT_HOME": F.col("side") == "home", "CUP_TIE": F.col("league") == "CUP"})
     return pairs.opponent_view(x, "match_id", ["LONG_WINLESS", "WINNING", "SCORING", "LEAKING"])
@@ -217,7 +280,7 @@ def g4_fdr(spark, base):
 
 
 def f17_wilson(spark, base):
-    g = _outcomes(spark, base).groupBy("league", "side").agg(F.count("*").alias("n"), F.sum(F.col("win").cast("int")).alias("hits"))
+    g = _outcomes(spark, base).where(PLAYED).groupBy("league", "side").agg(F.count("*").alias("n"), F.sum(F.col("win").cast("int")).alias("hits"))
     lo, hi = stats.wilson(F.col("hits"), F.col("n"))
     return g.select("league", "side", "n", "hits", r6(lo).alias("low"), r6(hi).alias("high"))
 
@@ -255,29 +318,19 @@ def _atoms(spark, base):
     """Every side of a match with all outcomes, their rates in the league, season and venue (`ref_*`), and the conditions OWN, their mirror images and MATCH; null counts as false."""
     x, ind = _outcomes(spark, base), lambda c: c.cast("int")
     for name, flag in (("won", F.col("win")), ("winless", ~F.col("win")), ("drawn", F.col("draw")), ("goalless", F.coalesce(F.col("gf") == 0, F.lit(False)))):
-        x = pit.streak_before(x, TEAM, ORDER, flag, name)
-    roll = lambda x, width, cols: pit.rolling_prev(x, TEAM, ORDER, cols, width)
-    half, late = F.col("ht_gf") + F.col("ht_ga"), F.col("gf") - F.col("ht_gf")
+        x = pit.streak_before(x, TEAM, ORDER, flag, name, PLAYED)
+    roll = lambda x, width, cols: pit.rolling_prev(x, TEAM, ORDER, cols, width, played=PLAYED)
     x = roll(x, 3, {"won_l3": (ind(F.col("win")), "sum")})
-    x = roll(x, 5, {"gf_l5": (F.col("gf"), "avg"), "ga_l5": (F.col("ga"), "avg"), "ga2_l5": (ind(F.col("ga") >= 2), "sum"), "cards_l5": (F.col("cards"), "avg"), "ht_ga_l5": (F.col("ht_ga"), "sum")})
-    x = roll(x, 4, {
-        "ht_for": (ind(F.col("ht_gf") > 0), "sum"), "ht_gf_l4": (F.col("ht_gf"), "avg"), "ht_against": (ind(F.col("ht_ga") > 0), "sum"), "ht_ga_l4": (F.col("ht_ga"), "avg"), "late_for": (ind(late > 0), "sum"), "late_diff": (late - (F.col("ga") - F.col("ht_ga")), "avg"),
-        "h15_l4": (ind(half >= 2), "sum"), "h0_l4": (ind(half == 0), "sum"), "o35_l4": (ind(F.col("total") >= 4), "sum"), "u15_l4": (ind(F.col("total") <= 1), "sum"),
-    })
-    x = pit.lagged(pit.lagged(x, TEAM, ORDER, "margin", [1, 2, 3]), TEAM, ORDER, "price", [1])
-    w = pit.over(TEAM, ORDER)
-    x = x.select("*", F.lag("winless", 3).over(w).alias("winless_m3"), F.datediff("date", F.lag("date").over(w)).alias("rest"))
+    x = roll(x, 5, {"gf_l5": (F.col("gf"), "avg"), "ga_l5": (F.col("ga"), "avg"), "cards_l5": (F.col("cards"), "avg")})
+    x = _halves(x)
+    for column, steps in (("margin", [1, 2, 3]), ("price", [1]), ("winless", [3]), ("date", [1])):
+        x = pit.lagged(x, TEAM, ORDER, column, steps, PLAYED)
+    x = x.withColumn("rest", F.datediff("date", "date_m1"))
     at_venue = ["team", "side"]
-    x = pit.streak_before(pit.streak_before(x, at_venue, ORDER, F.col("win"), "v_won"), at_venue, ORDER, ~F.col("win"), "v_winless")
-    x = pit.rolling_prev(x, at_venue, ORDER, {"v_ga": (F.col("ga"), "avg"), "v_clean": (ind(F.col("ga") == 0), "sum")}, 10)
-    x = pit.to_date(x, [*at_venue, "season"], ORDER, ind(F.col("win")), "v")
-    # ranks of the opponent then, for the records against the top half and the bottom third
-    t = standings.grid(now(spark, base), ["league", "season"], strict=False).select("match_id", F.col("team").alias("opp"), (F.col("rank") <= F.floor(F.col("n_teams") / 2)).alias("top"), (F.col("rank") > F.col("n_teams") - F.greatest(F.lit(1), F.floor(F.col("n_teams") / 3))).alias("bottom"))
-    past = pit.over(["team", "season"], ORDER).rowsBetween(*pit.PAST)
-    played = F.col("gf").isNotNull()
-    x = x.join(t, ["match_id", "opp"], "left")
-    total = lambda c: F.sum(ind(F.coalesce(c, F.lit(False)))).over(past)
-    x = x.select("*", total(F.col("top") & played).alias("top_n"), total(F.col("top") & played & (F.col("win") | F.col("draw"))).alias("top_taken"), total(F.col("bottom") & played).alias("low_n"), total(F.col("bottom") & played & F.col("win")).alias("low_won"))
+    x = pit.streak_before(pit.streak_before(x, at_venue, ORDER, F.col("win"), "v_won", PLAYED), at_venue, ORDER, ~F.col("win"), "v_winless", PLAYED)
+    x = pit.rolling_prev(x, at_venue, ORDER, {"v_ga": (F.col("ga"), "avg"), "v_clean": (ind(F.col("ga") == 0), "sum")}, 10, played=PLAYED)
+    x = pit.to_date(x, [*at_venue, "season"], ORDER, ind(F.col("win")), "v", PLAYED)
+    x = _records(x, spark, base)
     x = x.join(w17_season_end(spark, base).select("team", "season", "strong"), ["team", "season"], "left")
     x = x.join(w18_pair_last5(spark, base).select("match_id", F.col("n").alias("met"), "both", "under"), "match_id", "left").join(w22_range_history(spark, base), "match_id", "left")
     home, guest = F.col("side") == "home", F.col("side") == "away"
@@ -322,8 +375,7 @@ def s3_top_differences_all(spark, base):
 
 def e10_rounds_since_safe(spark, base):
     """For each side of a match, how many of its matches ago it became certain not to go down."""
-    z = table(spark, base, "leagues").select("league", "releg_spots").dropDuplicates(["league"])
-    t = standings.stakes(standings.grid(now(spark, base), ["league", "season"]), ["league", "season"], z, "league").select("league", "season", "match_id", "team", "surely_safe")
+    t = _stakes(spark, base).select("league", "season", "match_id", "team", "surely_safe")
     x = long(spark, base).select("match_id", "date", "side", "team", "league", "season").join(t, ["league", "season", "match_id", "team"])
     return pit.first_since(x, ["league", "season", "team"], ORDER, F.col("surely_safe"), "since").select("match_id", "side", "since")
 
@@ -389,5 +441,5 @@ def x6_blocks(spark, base):
     return pairs.blocks(now(spark, base), "season", 3, "block").groupBy("season", "block").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (a17_dedupe, a8_surrogate_key, a10_price_coverage, b1_two_sided, b7_opponent_view, w1_streak_before, w2_rolling_prev, w3_lags, w9_rest_days, w11_venue_streak, w12_season_to_date, w16_offset_window, w17_season_end, w18_pair_last5, w19_same_host, w20_last_loser, w22_range_history, w23_record_vs_top, w24_first_since, e1_standings, e1_standings_strict, e7_stakes, l_outcomes, g1_base_rates, g2_hypotheses, g4_fdr, f12_proportional, f13_shin, f15_source_fallback, f17_wilson, f20_flat_return, b13_cells, g5_adjusted_reference, g13_metadata, g14_roster, e10_rounds_since_safe, x2_search, x2_search_all, x5_search_canonical, x5_search_canonical_all, x6_blocks, s3_top_differences, s3_top_differences_all)}
+QUERIES = {f.__name__: f for f in (a17_dedupe, a8_surrogate_key, a10_price_coverage, b1_two_sided, b7_opponent_view, w1_streak_before, w2_rolling_prev, w3_lags, w9_rest_days, w11_venue_streak, w12_season_to_date, w16_offset_window, w17_season_end, w18_pair_last5, w19_same_host, w20_last_loser, w21_pair_cards, w4_streak_earlier, w8_halves, w14_home_last10, w22_range_history, w23_record_vs_top, w24_first_since, e1_standings, e1_standings_strict, e7_stakes, l_outcomes, g1_base_rates, g2_hypotheses, g4_fdr, f12_proportional, f13_shin, f15_source_fallback, f17_wilson, f20_flat_return, b13_cells, g5_adjusted_reference, g13_metadata, g14_roster, e10_rounds_since_safe, x2_search, x2_search_all, x5_search_canonical, x5_search_canonical_all, x6_blocks, s3_top_differences, s3_top_differences_all)}
 ORACLE = form_sql.ORACLE
