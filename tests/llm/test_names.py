@@ -17,10 +17,10 @@ def distance(a, b):
 CLUBS = ["Ravithoshaw Olympic", "Méririvik", "Fenogecourt Racing", "Clunozanez Rovers", "Clunozanez Athletic", "FC Ashemawick", "RC Quinisadosa", "Brückaupamont 04", "Lokomotiv Wilebewald", "Étoile Coreikidale", "Deneisewald Albion", "FC Noru", "RC Noru"]
 
 
-def link(spark, written, clubs=CLUBS):
+def link(spark, written, clubs=CLUBS, **kw):
     roster = spark.createDataFrame([("L", c, i, "x") for i, c in enumerate(clubs)], "league string, club string, club_id bigint, written string")
     df = spark.createDataFrame([("L", w, 1) for w in written] + [(None, "x", 1), ("NONE", "Méririvik", 1)], "league string, written string, club_id int")
-    out = {r["written"]: r["club_id"] for r in names.link(df, roster).where("league = 'L'").collect()}
+    out = {r["written"]: r["club_id"] for r in names.link(df, roster, **kw).where("league = 'L'").collect()}
     return {w: (clubs[i] if i >= 0 else None) for w, i in out.items()}
 
 
@@ -36,6 +36,19 @@ def test_ways_of_writing(spark):
     assert link(spark, list(want) * 2 + [None]) == want
 
 
+def test_a_roster_of_other_names(spark):
+    """Nothing is known but the list: its shared words, and that words are shortened and misspelled."""
+    titles = ["Senior Software Engineer", "Junior Software Engineer", "Software Engineer", "Sales Manager", "Product Manager", "Account Manager", "Data Scientist", "Nurse"]
+    want = {
+        "senior software enginer": "Senior Software Engineer", "Jnior Software Eng.": "Junior Software Engineer", "Product Mgr": "Product Manager", "Sales Mngr.": "Sales Manager", "acount manager": "Account Manager",
+        "DATA  SCIENTIST": "Data Scientist", "Data Scientsit": "Data Scientist", "Nrse": "Nurse", "Nurse": "Nurse", "Pilot": None, "Manager": None, "Regional Manager": None,
+    }
+    assert link(spark, list(want), titles, vocabulary=names.NOTHING) == want
+    clubs = ["Sheffield Wednesday", "Sheffield United", "Brighton & Hove Albion", "Hamburger SV", "Manchester United", "Manchester City", "Wolverhampton Wanderers", "Nottingham Forest", "West Bromwich Albion", "Newcastle United", "Leeds United"]
+    want = {"Sheffield Utd": "Sheffield United", "Brighton": "Brighton & Hove Albion", "Man. City": "Manchester City", "Manchester C.": "Manchester City", "Wolverhampton": "Wolverhampton Wanderers", "Leeds": "Leeds United", "Notingham Forest FC": "Nottingham Forest", "West Brom.": "West Bromwich Albion", "Newcastle Utd.": "Newcastle United", "Manchester": None}
+    assert link(spark, list(want), clubs) == want
+
+
 def test_exact_entries_are_themselves(spark):
     assert link(spark, CLUBS) == {c: c for c in CLUBS}
 
