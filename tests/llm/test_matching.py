@@ -39,6 +39,17 @@ def test_given_labels(spark):
     assert out["k1"][2] == pytest.approx((1 + 1) / (2 + 2))
 
 
+def test_confidence_is_the_rule_s_precision_on_what_the_first_resolved(spark):
+    day = 24 * H
+    # three fixtures listed by kick-off; one of them has a namesake on the same day, so the day rule finds the wrong one there
+    m = [("a", "L", 1, 2, 100 * day, 100), ("b", "L", 3, 4, 101 * day, 101), ("c2", "L", 5, 6, 102 * day, 102), ("c1", "L", 5, 6, None, 102), ("d", "L", 7, 8, None, 103)]
+    e = [("e1", "L", 1, 2, 100 * day, 100), ("e2", "L", 3, 4, 101 * day, 101), ("e3", "L", 5, 6, 102 * day, 102), ("e4", "L", 7, 8, 103 * day, 103), ("e5", "L", 8, 7, 103 * day, 103)]
+    out = run(spark, e, m)
+    assert {k: v[0] for k, v in out.items()} == {"e1": "a", "e2": "b", "e3": "c2", "e4": "d", "e5": "d"}
+    assert out["e4"][1:] == ("day", pytest.approx((2 + 1) / (3 + 2))) and out["e1"][1:] == ("kickoff", pytest.approx((3 + 1) / (3 + 2)))
+    assert out["e5"][1:] == ("day_swapped", None)  # nothing judges it
+
+
 def test_cascade_empty_and_clash(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [("k", "L", 1, 2, 0, 0)], []) == {"k": (None, None, 0.0)}
