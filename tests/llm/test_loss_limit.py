@@ -1,4 +1,4 @@
-"""A packing in which the limit on loss-bearing tokens binds."""
+"""Packings in which every limit binds."""
 
 import os
 
@@ -8,7 +8,7 @@ BASE = os.environ.get("TIDEMARK_TESTDATA", "/root/testdata/sf0.001")
 
 
 def test_loss_limit_binds(spark):
-    r, plain = queries.p7_fill_loss(spark, BASE).first(), queries.p7_fill(spark, BASE).first()
+    r, plain = queries.p7_fill_loss(spark, BASE).first(), queries.p7_fill_tokens(spark, BASE).first()
     limits = queries.LESS_LOSS
     assert limits.loss < limits.tokens and r["most_loss"] <= limits.loss < plain["most_loss"]
     assert r["most_tokens"] <= limits.tokens and r["most_segments"] <= limits.segments and r["fewest"] <= r["containers"]

@@ -178,17 +178,23 @@ def test_packed(spark):
 def test_rounds_place_everything_once(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, 0, 0, n := rng.randrange(1, 1500), n) for i in range(3000)], "doc_id bigint, piece int, first_token bigint, n_tokens bigint, n_loss bigint")
-    out = packing.pack(df, "doc_id", group_items=400).toPandas()
+    out = packing.pack(df, "doc_id", packing.Limits(2048, 64, 2048), group_items=400).toPandas()
     assert sorted(out.doc_id) == list(range(3000)) and out.groupby("container").n_tokens.sum().max() <= 2048
     assert out.container.nunique() <= 1.03 * df.toPandas().n_tokens.sum() / 2048
 
 
-def test_long_prompt_and_loss_limit(spark):
+def test_texts_are_divided_by_tokens_only(spark):
     s = spark.createDataFrame([(1, 3000, 2500), (2, 1500, 0)], "doc_id bigint, n_tokens bigint, n_prompt bigint")
     out = packing.pieces(s, "doc_id", packing.Limits(2048, 64, 1000)).collect()
-    for d, n in ((1, 3000), (2, 1500)):
-        own = sorted((r["first_token"], r["n_tokens"], r["n_loss"]) for r in out if r["doc_id"] == d)
-        assert sum(x[1] for x in own) == n and all(x[1] <= 2048 and x[2] <= 1000 for x in own) and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:]))
+    got = {d: sorted((r["first_token"], r["n_tokens"], r["n_loss"]) for r in out if r["doc_id"] == d) for d in (1, 2)}
+    assert got == {1: [(0, 2048, 0), (2048, 952, 500)], 2: [(0, 1500, 1500)]}
+
+
+def test_an_item_of_more_loss_than_the_limit_stands_without_others():
+    t, loss = np.array([900, 300, 200, 100, 100]), np.array([900, 300, 200, 0, 100])
+    c = packing.fill(t, loss, packing.Limits(1000, 9, 600))
+    assert c[0] == c[3] and c[1] == c[2] == c[4] != c[0]
+    assert len(packing.fill(np.array([], dtype=int), np.array([], dtype=int), packing.Limits())) == 0
 
 
 WHOLE = [

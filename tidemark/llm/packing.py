@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers with texts: vector bin packing by the dot-product heuristic.
 
 A container limits tokens, segments and loss-bearing tokens at once. It is filled by the item that fits and whose demand has the
-greatest dot product with what is left of the container, until nothing fits. A text is divided only if it is larger than a container.
+greatest dot product with what is left of the container, until nothing fits. A text is divided only if it has more tokens than a
+container; one that alone bears more loss than a container may is not divided but shares its container with no loss-bearing text.
 """
 
 from __future__ import annotations
@@ -23,25 +24,24 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 @dataclass(frozen=True)
 class Limits:
-    """What a container holds. loss: as many as tokens unless a batch is to hold fewer tokens that bear loss."""
+    """What a container holds at once. segments and loss are set so that they bind: instruction batches mix texts that are all
+    loss-bearing with texts that are mostly prompt."""
 
     tokens: int = 2048
-    segments: int = 64
-    loss: int = 2048
+    segments: int = 32
+    loss: int = 1792
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, n_prompt): the tokens of each whole text and of its first line, the prompt, which bears no loss.
 
     A text of one line is all loss-bearing. Null ids or texts are left out, an empty text has no tokens; repeated rows are
-    sized each. tokenizer: a tokenizers JSON file that all executors can read; nothing is trained.
+    sized each, where the table lies: texts are not shuffled. tokenizer: a tokenizers JSON file that all executors can read; nothing
+    is trained.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, text)
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < 3 * cores:
-        docs = docs.repartition(3 * cores)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,23 +63,19 @@ def sizes(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -
 
 
 def pieces(sized: DataFrame, doc_id: str, limits: Limits) -> DataFrame:
-    """Texts as they are placed: (doc_id, piece, first_token, n_tokens, n_loss); only texts beyond a container have several pieces.
-
-    A piece ends early where its loss-bearing tokens would exceed their limit.
-    """
-    most = min(limits.tokens, limits.loss)
-    # within the prompt a piece may be as large as a container; from the first loss-bearing token on as large as the lesser limit
-    n, fits = F.col("n_tokens"), (F.col("n_tokens") <= limits.tokens) & (F.col("n_tokens") - F.col("n_prompt") <= limits.loss)
-    count = F.when(fits, 1).otherwise(F.ceil(n / most)).cast("int")
-    x = sized.select(doc_id, "n_tokens", "n_prompt", fits.alias("_fits"), F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
-    first = F.when(F.col("_fits"), 0).otherwise(F.col("piece").cast("long") * most)
-    end = F.when(F.col("_fits"), n).otherwise(F.least(n, first + most))
+    """Texts as they are placed: (doc_id, piece, first_token, n_tokens, n_loss); only texts beyond a container have several pieces."""
+    n = F.col("n_tokens")
+    x = sized.select(doc_id, "n_tokens", "n_prompt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(n / limits.tokens)).cast("int") - 1)).alias("piece"))
+    first = F.col("piece").cast("long") * limits.tokens
+    end = F.least(n, first + limits.tokens)
     return x.select(doc_id, "piece", first.alias("first_token"), (end - first).alias("n_tokens"), (end - F.greatest(first, F.least(end, F.col("n_prompt")))).alias("n_loss"))
 
 
 def fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> np.ndarray:
-    """The container number of each item."""
+    """The container number of each item. An item of more loss than the limit opens a container, which then takes none that bears loss."""
     n = len(tokens)
+    if n and tokens.max() > limits.tokens:
+        raise ValueError("an item is larger than a container")
     out = np.full(n, -1, dtype=np.int64)
     order = np.lexsort((np.arange(n), -loss, -tokens))
     tk, ls = tokens[order].astype(np.int64), loss[order].astype(np.int64)
@@ -94,13 +90,14 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> np.ndarray:
             t, l_ = tk[start:], ls[start:]
             # the segment's share is the same for all items and decides nothing among them
             score = t * (left_t / limits.tokens**2) + l_ * (left_l / limits.loss**2)
-            score = np.where(free[start:] & (l_ <= left_l), score, -1.0)
+            opens = left_s == limits.segments
+            score = np.where(free[start:] & ((l_ <= left_l) | opens), score, -1.0)
             best = int(score.argmax())
             if score[best] < 0:
                 break
             at = start + best
             free[at] = False
-            left_t, left_s, left_l = left_t - tk[at], left_s - 1, left_l - ls[at]
+            left_t, left_s, left_l = left_t - tk[at], left_s - 1, max(0, left_l - ls[at])
             if left_t == 0 and tk[-1] > 0:
                 break
         out[order[~free]] = number
@@ -122,7 +119,7 @@ def pack(items: DataFrame, doc_id: str, limits: Limits = Limits(), group_items:
     """items (from pieces()) with `container`, a number that rows share if they are placed together.
 
     Items are dealt at random to groups of group_items that are packed independently; whatever lies in containers less than
-    `full` is dealt anew among fewer groups, so that remainders of all groups meet. Every item is placed once; the groups, and
+    `full` in every limit is dealt anew among fewer groups, so that remainders of all groups meet. Every item is placed once; the groups, and
     with them a task's memory, stay of one size however many items there are. Empty tables give an empty result.
     """
     spark = items.sparkSession
@@ -134,14 +131,16 @@ def pack(items: DataFrame, doc_id: str, limits: Limits = Limits(), group_items:
         groups = max(1, math.ceil(n / group_items))
         last = r == rounds - 1 or groups == 1
 
-        dealt = rest.withColumn("_g", F.pmod(F.xxhash64(doc_id, "piece", F.lit(r)), F.lit(groups)))
+        # as many tasks as groups: their number is stated, so small groups are not merged into one task
+        dealt = rest.withColumn("_g", F.pmod(F.xxhash64(doc_id, "piece", F.lit(r)), F.lit(groups))).repartition(groups, "_g")
         placed = dealt.groupBy("_g").applyInPandas(_placer(doc_id, limits, r), schema)
         if last:
             done.append(placed)
             break
         placed = staged(placed, "packed")
-        used = placed.groupBy("container").agg(F.sum("n_tokens").alias("_used"))
-        good = F.col("_used") >= full * limits.tokens
+        # full in any of the limits: what is left of the others nothing can use
+        used = placed.groupBy("container").agg(F.greatest(F.sum("n_tokens") / limits.tokens, F.sum("n_loss") / limits.loss, F.count("*") / limits.segments).alias("_used"))
+        good = F.col("_used") >= full
         marked = staged(placed.join(used, "container"), "packed_marked")
         done.append(marked.where(good).select(placed.columns))
         rest = marked.where(~good).drop("container", "_used")

@@ -10,7 +10,7 @@ from tidemark.operators import instants
 from tidemark.session import cut_lineage, table
 
 CUP = "CUP"
-LESS_LOSS = packing.Limits(loss=1536)
+LESS_LOSS, TOKENS_ONLY = packing.Limits(loss=1536), packing.Limits(segments=2048, loss=2048)
 
 
 def roster(spark: SparkSession, base: str) -> DataFrame:
@@ -111,33 +111,45 @@ def p8_items(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, base: str) -> DataFrame:
-    """The texts, or the pieces of those beyond a container, with the container each is placed in."""
+    """The texts, or the pieces of those beyond a container, with the container each is placed in; all three limits bind."""
     return packing.packed(table(spark, base, "documents"), "doc_id", "text")
 
 
 def p7_packed_loss(spark: SparkSession, base: str) -> DataFrame:
-    """The same with fewer loss-bearing tokens to a container than tokens, so that all three limits can bind."""
+    """The same with fewer loss-bearing tokens to a container, so that this limit binds in most."""
     return packing.packed(table(spark, base, "documents"), "doc_id", "text", LESS_LOSS)
 
 
+def p7_packed_tokens(spark: SparkSession, base: str) -> DataFrame:
+    """The same by tokens alone: what the other limits cost is the difference."""
+    return packing.packed(table(spark, base, "documents"), "doc_id", "text", TOKENS_ONLY)
+
+
 def _fill(packed: DataFrame, limits: packing.Limits) -> DataFrame:
     c = packed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("n_loss").alias("loss"))
+    shared = F.col("segments") > 1  # a text of more loss than the limit stands alone, but for texts without loss
     return c.agg(
-        F.count("*").alias("containers"), F.ceil(F.greatest(F.sum("tokens") / limits.tokens, F.sum("loss") / limits.loss)).alias("fewest"), (1 - F.sum("tokens") / (F.count("*") * limits.tokens)).alias("unused"),
-        F.max("tokens").alias("most_tokens"), F.max("segments").alias("most_segments"), F.max("loss").alias("most_loss"),
+        F.count("*").alias("containers"), F.ceil(F.sum("tokens") / limits.tokens).alias("fewest"), (1 - F.sum("tokens") / (F.count("*") * limits.tokens)).alias("unused"),
+        F.max("tokens").alias("most_tokens"), F.max("segments").alias("most_segments"), F.max(F.when(shared, F.col("loss"))).alias("most_loss"),
+        F.count_if(F.col("tokens") == limits.tokens).alias("at_tokens"), F.count_if(F.col("segments") == limits.segments).alias("at_segments"), F.count_if(F.col("loss") >= limits.loss).alias("at_loss"),
     )
 
 
 def p7_fill(spark: SparkSession, base: str) -> DataFrame:
-    """Containers used, the fewest possible by tokens alone, and the share of space left unused."""
+    """Containers used, the fewest possible by tokens alone, the share of space left unused, and how many containers reach each limit."""
     return _fill(p7_packed(spark, base), packing.Limits())
 
 
 def p7_fill_loss(spark: SparkSession, base: str) -> DataFrame:
-    """The same of p7_packed_loss; the fewest possible are by tokens or by loss-bearing tokens alone."""
+    """The same of p7_packed_loss."""
     return _fill(p7_packed_loss(spark, base), LESS_LOSS)
 
 
+def p7_fill_tokens(spark: SparkSession, base: str) -> DataFrame:
+    """The same of p7_packed_tokens."""
+    return _fill(p7_packed_tokens(spark, base), TOKENS_ONLY)
+
+
 def _ends(spark: SparkSession, base: str) -> DataFrame:
     return truncation.ends(table(spark, base, "documents").select("doc_id", "source", "text"), "text", "source")
 
@@ -157,7 +169,7 @@ def p9_limits(spark: SparkSession, base: str) -> DataFrame:
     return truncation.limits(table(spark, base, "documents"), "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p7_packed, p7_packed_loss, p7_fill, p7_fill_loss, p8_found, p8_items, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p7_packed, p7_packed_loss, p7_packed_tokens, p7_fill, p7_fill_loss, p7_fill_tokens, p8_found, p8_items, p9_found, p9_rates, p9_limits)}
 _P5 = """
 WITH s AS (SELECT DISTINCT event_id, candidat, team_fd, home_fd, commence FROM journal),
 m AS (SELECT DISTINCT match_id, home, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS noon FROM matches),
