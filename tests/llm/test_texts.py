@@ -217,6 +217,17 @@ def test_ends(spark):
     assert truncation.ends(df.where("false"), "text", "source").count() == 0
 
 
+def limits_of(spark, rows):
+    return {(r["source"], r["unit"]): r["length"] for r in truncation.limits(spark.createDataFrame(rows, "text string, source string"), "text", "source").collect()}
+
+
+def test_stages(spark):
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("abc de") for _ in range(150)) + "a", "s", None) for _ in range(30)] + [("b" * n, "s", None) for n in range(60, 90)] + [("Done." + "c" * 145 + ".", "s", None)]
+    out = truncation.ends(spark.createDataFrame(rows, "text string, source string, stage string"), "text", "source").groupBy("stage").count().collect()
+    assert {r["stage"]: r["count"] for r in out} == {"length_spike": 30, "text_end": 30, None: 1}
+
+
 def test_limits_are_found(spark):
     rng = random.Random(1)
     rows = []
@@ -225,6 +236,10 @@ def test_limits_are_found(spark):
         rows.append((t[:100], "chars")) if i % 2 else rows.append((t.encode()[:120].decode("utf-8", "ignore"), "bytes"))
     rows += [("x" * rng.randrange(20, 300), None) for _ in range(100)]
     out = {(r["source"], r["unit"]): r["length"] for r in truncation.limits(spark.createDataFrame(rows, "text string, source string"), "text", "source").collect()}
+    reposted = limits_of(spark, [("x" * 77, "r")] * 50 + [("y" * 77 + f"{i % 3}", "r") for i in range(50)])
+    assert reposted == {}
+    marked = limits_of(spark, [("".join(rng.choice("abc d") for _ in range(150)) + m, "m") for m in ("…", " [+41 chars]", "", "... [+7 chars]") for _ in range(4)])
+    assert {k: v for k, v in marked.items() if k[1] == "chars"} == {("m", "chars"): 150}
     assert out["chars", "chars"] == 100 and out["bytes", "bytes"] == 120 and (None, "chars") not in out
 
 

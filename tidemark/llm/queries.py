@@ -164,12 +164,17 @@ def p9_rates(spark: SparkSession, base: str) -> DataFrame:
     return _ends(spark, base).groupBy("source").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"), (F.count_if("cut") / F.count("cut")).alias("share"))
 
 
+def p9_stages(spark: SparkSession, base: str) -> DataFrame:
+    """What found the cut texts: the length histograms, or the ends of texts away from any spike."""
+    return _ends(spark, base).where("cut").groupBy("source", "stage", "evidence").agg(F.count("*").alias("n"))
+
+
 def p9_limits(spark: SparkSession, base: str) -> DataFrame:
     """Lengths at which a source's texts pile up."""
     return truncation.limits(table(spark, base, "documents"), "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p7_packed, p7_packed_loss, p7_packed_tokens, p7_fill, p7_fill_loss, p7_fill_tokens, p8_found, p8_items, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p4_found, p4_links, p4_unmatched, p5_found, p5_open, p7_packed, p7_packed_loss, p7_packed_tokens, p7_fill, p7_fill_loss, p7_fill_tokens, p8_found, p8_items, p9_found, p9_rates, p9_stages, p9_limits)}
 _P5 = """
 WITH s AS (SELECT DISTINCT event_id, candidat, team_fd, home_fd, commence FROM journal),
 m AS (SELECT DISTINCT match_id, home, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS noon FROM matches),

@@ -1,44 +1,62 @@
 """Texts cut off by field limits or in transfer.
 
-Two kinds of evidence. Length histograms of each source, in characters and in bytes, show spikes at the maximum where a field
-limit cuts. And the end of a text shows whether it was finished: a sentence with its terminal, or a last line that is
-complete in itself. A limit tells about lengths only, and transfers break anywhere, so every text is judged by its end; a
-spike length makes the judgement stricter where the end alone leaves doubt.
+First stage: length histograms of each source, in characters and in bytes, show spikes where a field limit cuts; a text of such a length
+that has no terminal is cut. Second stage, for transfers that break anywhere: a text whose end shows that it was not
+finished, by the same test of terminals and of last lines that are complete in themselves. `stage` says which found a text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import checked_broadcast
 
-# Closing lines that are complete without a terminal.
-NOTES = (
-    "to be continued", "more follows", "more to follow", "à suivre", "suite demain", "la suite demain", "continuará", "sigue mañana",
-    "lol", "mdr", "ptdr", "jaja", "jajaja", "haha", "xd", "ends", "fin", "end", "final", "the end",
-)
-# Labels of closing lines such as `Photo: Name`.
-LABELS = (
-    "tags", "mots-clés", "etiquetas", "photo", "photos", "foto", "source", "fuente", "text", "texte", "texto", "by", "par", "por",
-    "attendance", "spectateurs", "asistencia", "espectadores", "kick-off", "coup d'envoi", "saque inicial",
-)
+
+@dataclass(frozen=True)
+class Closings:
+    """Last lines that are complete without a terminal: notes by themselves, and labels of what follows them (`Photo: Name`); lower case."""
+
+    notes: tuple[str, ...] = (
+        "to be continued", "more follows", "more to follow", "à suivre", "suite demain", "la suite demain", "continuará", "sigue mañana",
+        "lol", "mdr", "ptdr", "jaja", "jajaja", "haha", "xd", "ends", "fin", "end", "final", "the end",
+    )
+    labels: tuple[str, ...] = (
+        "tags", "mots-clés", "etiquetas", "photo", "photos", "foto", "source", "fuente", "text", "texte", "texto", "by", "par", "por",
+        "attendance", "spectateurs", "asistencia", "espectadores", "kick-off", "coup d'envoi", "saque inicial",
+    )
+    clocks: tuple[str, ...] = ("kick-off", "coup d'envoi", "saque inicial")
+
+
+# What a cutter appends: an ellipsis, bare or bracketed, or a count of what is missing, or both.
+_DOTS = r"(?:\[ ?(?:\.\.\.|…) ?\]|\( ?(?:\.\.\.|…) ?\)|\.\.\.|…)"
+_MISSING = r"\[?\+ ?\d+ (?:chars|characters|caractères|caracteres)\]?"
+MARK = rf"(?:{_DOTS}[ ]?{_MISSING}|{_DOTS}|{_MISSING})$"
 _EMOJI = r"[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}\x{2B00}-\x{2BFF}\x{FE0F}]"
 
 
-def limits(docs: DataFrame, text: str, source: str, least: int = 5, factor: float = 5.0) -> DataFrame:
+def _body(text: Column) -> Column:
+    """The text without a mark of cutting: limits count what was there before it was appended."""
+    return F.regexp_replace(text, r"[ ]?" + MARK, "")
+
+
+def limits(docs: DataFrame, text: str, source: str, least: int = 5, factor: float = 5.0, deviations: float = 5.0) -> DataFrame:
     """(source, unit, length, n, usual): lengths at which a source's texts pile up, unit `chars` or `bytes`.
 
-    A spike holds `least` texts and `factor` times what the 20 lengths before it hold on average, and no more than a twentieth
-    as many texts as lie below it lie beyond it by more than the spike holds: the maximum of the source but for strays.
-    Null texts are left out, a null source is a source. Counts are taken over all texts, pre-aggregated.
+    A spike holds `least` different texts, `factor` times what the 20 lengths on either side hold on average, and `deviations` standard
+    deviations more. A source may have several, as its fields or their limits differ. Marks of cutting are left out of the lengths.
+    Texts reposted word for word in a source count once, by hash. Null texts are left out, a null source is a source. Counts are
+    taken over all texts, of which only hashes and lengths are shuffled.
     """
-    t = F.col(f"`{text}`")
-    h = docs.where(t.isNotNull()).select(F.col(f"`{source}`").alias("source"), F.inline(F.array(F.struct(F.lit("chars").alias("unit"), F.length(t).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(t).alias("length")))))
+    t = _body(F.col(f"`{text}`"))
+    h = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{source}`").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes")).distinct()
+    h = h.select("source", F.inline(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])))
     h = h.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
-    near = "(PARTITION BY source, unit ORDER BY length RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)"
-    h = h.select("*", F.expr(f"coalesce(sum(n) OVER {near}, 0) / 20D").alias("usual"), F.expr("coalesce(sum(n) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)").alias("beyond"), F.expr("sum(n) OVER (PARTITION BY source, unit)").alias("total"))
-    spike = (F.col("n") >= least) & (F.col("n") >= factor * (F.col("usual") + 0.2)) & (F.col("beyond") <= F.greatest(F.col("n"), F.col("total") / 20))
+    near = lambda a, b: f"coalesce(sum(n) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN {a} AND {b}), 0) / 20D"
+    h = h.select("*", F.greatest(F.expr(near("20 PRECEDING", "1 PRECEDING")), F.expr(near("1 FOLLOWING", "20 FOLLOWING"))).alias("usual"))
+    spike = (F.col("n") >= least) & (F.col("n") >= factor * (F.col("usual") + 0.2)) & (F.col("n") >= F.col("usual") + deviations * F.sqrt("usual"))
     return h.where(spike).select("source", "unit", "length", "n", "usual")
 
 
@@ -59,13 +77,13 @@ def line_shapes(docs: DataFrame, text: str, least: int = 3) -> DataFrame:
     return lines.select(_shape(F.col("line")).alias("shape")).where("shape is not null").groupBy("shape").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("shape")
 
 
-def ends(docs: DataFrame, text: str, source: str) -> DataFrame:
-    """docs with `cut` (boolean, null for null or blank texts) and `evidence` (why it is held cut, else null).
+def ends(docs: DataFrame, text: str, source: str, closings: Closings = Closings()) -> DataFrame:
+    """docs with `cut` (boolean, null for null or blank texts), `stage` (length_spike, text_end) and `evidence` (why it is held cut, else null).
 
-    Other columns stay; those two names are replaced. Repeated rows are judged alike; a very long text is judged by its last
+    Other columns stay; those three names are replaced. Repeated rows are judged alike; a very long text is judged by its last
     line, its length and, for closing tags or scores, the words before them.
     """
-    docs = docs.drop("cut", "evidence")
+    docs = docs.drop("cut", "stage", "evidence")
     t = F.col(f"`{text}`")
     x = docs.withColumn("_t", F.regexp_replace(t, r"(?:\s|</[a-zA-Z]+>|<br ?/?>)+$", ""))
     x = x.withColumn("_line", F.substring_index("_t", "\n", -1)).withColumn("_shape", _shape(F.col("_line")))
@@ -73,7 +91,7 @@ def ends(docs: DataFrame, text: str, source: str) -> DataFrame:
     # texts without a shape get keys of their own, so that they spread where the join is shuffled
     x = x.join(checked_broadcast(shapes), F.coalesce("_shape", F.concat(F.lit("?"), F.xxhash64(t).cast("string"))) == F.col("_known"), "left")
     lim = checked_broadcast(limits(docs, text, source))
-    for unit, length in (("chars", F.length(t)), ("bytes", F.octet_length(t))):
+    for unit, length in (("chars", F.length(_body(t))), ("bytes", F.octet_length(_body(t)))):
         # a limit in bytes can fall within a character, which is then dropped or replaced
         slack = F.array(F.lit(0)) if unit == "chars" else F.array(*[F.lit(i) for i in range(3)])
         u = lim.where(F.col("unit") == unit).select(F.col("source").alias(f"_s_{unit}"), F.explode(F.transform(slack, lambda i: F.col("length") - i)).alias(f"_l_{unit}")).distinct()
@@ -82,10 +100,10 @@ def ends(docs: DataFrame, text: str, source: str) -> DataFrame:
     line = F.btrim("_line")
     low = F.lower(line)
     bare = F.regexp_replace(low, r"^[\s(\[—–-]+|[\s.…!)\]]+$", "")
-    note = bare.isin(*NOTES) | line.rlike(r"^[+*=~_#-]{2,}$")
+    note = bare.isin(*closings.notes) | line.rlike(r"^[+*=~_#-]{2,}$")
     tags = line.rlike(r"^#[\p{L}\d_]+(?: #[\p{L}\d_]+)*$")
-    label = low.rlike("^(?:" + "|".join(LABELS) + r") ?:? \S")
-    clock_label = low.rlike(r"^(?:kick-off|coup d'envoi|saque inicial)")
+    label = low.rlike("^(?:" + "|".join(closings.labels) + r") ?:? \S")
+    clock_label = low.rlike("^(?:" + "|".join(closings.clocks) + ")")
     score = line.rlike(r"^[\p{Lu}][\p{L}\d'. -]{1,60} \d{1,2}[-–:]\d{1,2} \p{Lu}[\p{L}\d'. -]{1,60}$") & ~line.rlike(r"[\p{Ll}]\. ")
     signed = line.rlike(r"^[—–-]{1,2} ?\p{Lu}")
     outlet = F.replace(F.coalesce(F.col(f"`{source}`"), F.lit("")), F.lit("_"), F.lit(" "))
@@ -94,7 +112,7 @@ def ends(docs: DataFrame, text: str, source: str) -> DataFrame:
     before = F.substring(F.col("_t"), F.lit(1), F.length("_t") - F.length("_line"))
     longer = F.rlike(before, F.concat(F.lit(r"(?<!\p{L})\Q"), word, F.lit(r"\E\p{L}"))) & ~F.rlike(before, F.concat(F.lit(r"(?<!\p{L})\Q"), word, F.lit(r"\E(?!\p{L})")))
     broken_word = (word != "") & longer
-    mark = line.rlike(r"(?:\[?\+ ?\d+ (?:chars|characters|caractères|caracteres)\]?|\[ ?(?:\.\.\.|…) ?\]|\( ?(?:\.\.\.|…) ?\)|\.\.\.|…|\x{FFFD})$")
+    mark = line.rlike(rf"{MARK}|\x{{FFFD}}$")
     terminal = line.rlike(r"[.!?。](?:[\s»\"”’')\]]*)$")
     inside_number = line.rlike(r"(?:^|[^\d.])\d\.$") & at_limit
     evidence = (
@@ -108,7 +126,7 @@ def ends(docs: DataFrame, text: str, source: str) -> DataFrame:
         .when(label, F.when(broken_word, "unfinished_word"))
         .when(signed & (F.length(line) <= 60), None)
         .when(inside_number, "inside_number")
-        .when(~terminal, F.when(at_limit, "unfinished_at_limit").otherwise("unfinished"))
+        .when(~terminal, "unfinished")
     )
-    x = x.withColumn("evidence", F.when(t.isNotNull(), evidence))
-    return x.withColumn("cut", F.when(t.isNotNull() & (F.col("_t") != ""), F.col("evidence").isNotNull())).select(*[F.col(f"`{c}`") for c in docs.columns], "cut", "evidence")
+    x = x.withColumn("evidence", F.when(t.isNotNull(), evidence)).withColumn("stage", F.when(F.col("evidence").isNotNull(), F.when(at_limit, "length_spike").otherwise("text_end")))
+    return x.withColumn("cut", F.when(t.isNotNull() & (F.col("_t") != ""), F.col("evidence").isNotNull())).select(*[F.col(f"`{c}`") for c in docs.columns], "cut", "stage", "evidence")
