@@ -22,8 +22,10 @@ def nearest(left: DataFrame, right: DataFrame, left_entity: str, left_time: str,
     give an empty result.
 
     Cells: groups of entities by hash (as many as there are shuffle partitions, if not given) by time ranges of range_s seconds
-    (64 tolerances, if not given). One entity may hold a large part of all rows: cells with more than cell_rows left rows
-    are counted beforehand and split, and only for these the right side, which holds distinct times, is repeated.
+    (64 tolerances, if not given), which holds at most a range's worth of distinct times of an entity. One entity or time may hold a large
+    part of all rows: cells are counted beforehand on both sides and cut into shorter time ranges (of one tolerance at least)
+    until neither side has more than cell_rows; left rows of a range that is still too full are dealt out, and only for these
+    the right side is repeated.
     """
     tol, width = round(tolerance_s * 1e6), round((range_s or 64 * tolerance_s) * 1e6)
     if right_id in left.columns:
@@ -32,15 +34,31 @@ def nearest(left: DataFrame, right: DataFrame, left_entity: str, left_time: str,
     group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
     x = left.where(F.col(f"`{left_entity}`").isNotNull() & F.col(f"`{left_time}`").isNotNull())
     x = x.withColumn("_t", F.unix_micros(F.col(f"`{left_time}`").cast("timestamp"))).withColumn("_e", F.col(f"`{left_entity}`"))
-    x = x.withColumn("_g", group(F.col("_e"))).withColumn("_r", F.floor(F.col("_t") / width).cast("int"))
-    parts = x.groupBy("_g", "_r").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_parts"))
-    named = lambda p: parts.select(F.col("_g").alias(f"_g{p}"), F.col("_r").alias(f"_r{p}"), F.col("_parts").alias(f"_n{p}"))
-    x = x.join(named("x"), (F.col("_g") == F.col("_gx")) & (F.col("_r") == F.col("_rx"))).withColumn("_s", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("_nx")).cast("int"))
+    coarse = lambda t: F.floor(t / width).cast("int")
+    x = x.withColumn("_g", group(F.col("_e"))).withColumn("_c", coarse(F.col("_t")))
     y = right.where(F.col(right_entity).isNotNull() & F.col(right_time).isNotNull() & F.col(right_id).isNotNull())
-    y = y.groupBy(F.col(right_entity).alias("_e"), F.unix_micros(F.col(right_time).cast("timestamp")).alias("_t")).agg(F.min(right_id).alias("_id"))
+    y = y.groupBy(F.col(right_entity).alias("_e"), F.unix_micros(F.col(right_time).cast("timestamp")).alias("_t")).agg(F.min(right_id).alias("_id")).withColumn("_g", group(F.col("_e")))
+    # how many parts a cell's time range is cut into, by the fuller side: a power of two, so that parts nest
+    most = max(1, width // max(1, tol))
+    both = x.select("_g", "_c", F.lit(1).alias("_x"), F.lit(0).alias("_y")).unionByName(y.select("_g", coarse(F.col("_t")).alias("_c"), F.lit(0).alias("_x"), F.lit(1).alias("_y")))
+    counts = both.groupBy("_g", "_c").agg(F.sum("_x").alias("_nx"), F.sum("_y").alias("_ny"))
+    need = F.ceil(F.greatest("_nx", "_ny") / cell_rows)
+    cuts = F.least(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(need, F.lit(1))))), F.lit(most)).cast("int")
+    counts = counts.select("_g", "_c", cuts.alias("_cuts"))
+    named = lambda p: counts.select(F.col("_g").alias(f"_g{p}"), F.col("_c").alias(f"_c{p}"), F.col("_cuts").alias(f"_cuts{p}"))
+    # a part is known by its cell and number; its borders are the cell's, cut evenly
+    part = lambda t, c, cuts: F.floor((t - c * F.lit(width)) * cuts / F.lit(width)).cast("int")
+    x = x.join(named("x"), (F.col("_g") == F.col("_gx")) & (F.col("_c") == F.col("_cx"))).withColumn("_r", part(F.col("_t"), F.col("_c"), F.col("_cutsx")))
+    parts = x.groupBy("_g", "_c", "_r").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_parts"))
+    shared = lambda p: parts.select(F.col("_g").alias(f"_pg{p}"), F.col("_c").alias(f"_pc{p}"), F.col("_r").alias(f"_pr{p}"), F.col("_parts").alias(f"_n{p}"))
+    at = lambda p: (F.col("_g") == F.col(f"_pg{p}")) & (F.col("_c") == F.col(f"_pc{p}")) & (F.col("_r") == F.col(f"_pr{p}"))
+    x = x.join(shared("x"), at("x")).withColumn("_s", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("_nx")).cast("int"))
+    # a candidate falls into every cell, and of it into every part, that its tolerance reaches
     reach = F.sequence(F.floor((F.col("_t") - tol) / width).cast("int"), F.floor((F.col("_t") + tol) / width).cast("int"))
-    y = y.withColumn("_g", group(F.col("_e"))).withColumn("_r", F.explode(reach))
-    y = y.join(named("y"), (F.col("_g") == F.col("_gy")) & (F.col("_r") == F.col("_ry"))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1)))
+    y = y.withColumn("_c", F.explode(reach)).join(named("y"), (F.col("_g") == F.col("_gy")) & (F.col("_c") == F.col("_cy")))
+    lo, hi = part(F.col("_t") - tol, F.col("_c"), F.col("_cutsy")), part(F.col("_t") + tol, F.col("_c"), F.col("_cutsy"))
+    y = y.withColumn("_r", F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, F.col("_cutsy") - 1))))
+    y = y.join(shared("y"), at("y")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1)))
 
     columns = list(left.columns)
 
@@ -68,4 +86,4 @@ def nearest(left: DataFrame, right: DataFrame, left_entity: str, left_time: str,
 
     kind = dict(right.dtypes)[right_id]
     schema = ", ".join([f"`{c}` {t}" for c, t in left.dtypes] + [f"`{right_id}` {kind}"])
-    return x.groupBy("_g", "_r", "_s").cogroup(y.groupBy("_g", "_r", "_s")).applyInPandas(cell, schema)
+    return x.groupBy("_g", "_c", "_r", "_s").cogroup(y.groupBy("_g", "_c", "_r", "_s")).applyInPandas(cell, schema)

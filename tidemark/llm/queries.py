@@ -185,7 +185,16 @@ r AS (
   FROM s JOIN m ON s.home_fd = m.home AND abs(epoch_us(s.commence) - epoch_us(m.noon)) <= 129600000000),
 found AS (SELECT event_id, candidat, team_fd, match_id FROM r WHERE n = 1)
 """
+_BODY = r"regexp_replace(text, '[ ]?(?:(?:\[ ?(?:\.\.\.|…) ?\]|\( ?(?:\.\.\.|…) ?\)|\.\.\.|…)[ ]?\[?\+ ?\d+ (?:chars|characters|caractères|caracteres)\]?|(?:\[ ?(?:\.\.\.|…) ?\]|\( ?(?:\.\.\.|…) ?\)|\.\.\.|…)|\[?\+ ?\d+ (?:chars|characters|caractères|caracteres)\]?)$', '')"
+_P9 = f"""
+WITH d AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT source, 'chars' AS unit, length({_BODY}) AS length FROM d UNION ALL SELECT source, 'bytes', octet_length(encode({_BODY})) FROM d),
+h AS (SELECT source, unit, length, count(*) AS n FROM l GROUP BY ALL),
+u AS (SELECT a.source, a.unit, a.length, a.n, greatest(coalesce(sum(b.n) FILTER (b.length < a.length), 0) / 20.0::DOUBLE, coalesce(sum(b.n) FILTER (b.length > a.length), 0) / 20.0::DOUBLE) AS usual
+  FROM h a LEFT JOIN h b ON a.source IS NOT DISTINCT FROM b.source AND a.unit = b.unit AND abs(a.length - b.length) BETWEEN 1 AND 20 GROUP BY ALL)
+SELECT source, unit, CAST(length AS INT) AS length, n, usual FROM u WHERE n >= 5 AND n >= 5 * (usual + 0.2) AND n >= usual + 5 * sqrt(usual)"""
 ORACLE: dict[str, str] = {
+    "p9_limits": _P9,
     "p5_found": _P5 + "SELECT * FROM found",
     "p5_open": _P5 + """SELECT s.candidat, count(*) AS n_open FROM s LEFT JOIN found f
   ON s.event_id = f.event_id AND s.candidat = f.candidat AND s.team_fd = f.team_fd
