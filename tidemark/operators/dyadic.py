@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checked_broadcast
+
 LEVELS = 17  # at most; 2^17 days are 358 years
 HORIZON = 1 << LEVELS
 SALT_FROM = 6  # up to 2^6 days a node meets the events of 2^6 days only
@@ -61,7 +63,7 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, day: str, even
     days match nothing.
 
     A node of a high level meets all events of its entity. Entities with more than `hot` events are counted out beforehand (one
-    row per `hot` events at most, which bounds what is broadcast); their nodes of level k > 6 are repeated up to 2^(k-6) times and
+    row per `hot` events at most; broadcast if their bytes are few); their nodes of level k > 6 are repeated up to 2^(k-6) times and
     the events spread among the copies. An entity has at most one node of level k per 2^k days, so the copies stay few.
     """
     # the days that occur set the axis: only levels up to their range are needed
@@ -69,7 +71,7 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, day: str, even
     lo, hi = (0, 0) if lo is None else (lo, hi)
     levels = max(1, (hi - lo).bit_length())
     counts = events.groupBy(F.col(entity).alias("_hot")).agg(F.count("*").alias("_n")).where((F.col("_n") > hot) & F.col("_hot").isNotNull())
-    counts = F.broadcast(counts.select("_hot", F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
+    counts = checked_broadcast(counts.select("_hot", F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
     copies = lambda level: F.greatest(F.lit(1), F.least(F.coalesce("_parts", F.lit(1)), F.pow(F.lit(2), F.greatest(F.lit(0), level - SALT_FROM)).cast("int")))
     n = versions.select(F.col(entity).alias("_e"), F.col(since).alias("_since"), F.col(until).alias("_until"), *payload, F.explode(nodes(F.greatest(F.col(since) - lo, F.lit(0)), F.least(F.col(until) - lo, F.lit(hi - lo + 1)), levels)).alias("_n"))
     n = n.select("_e", "_since", "_until", *payload, F.col("_n.level").alias("_l"), F.col("_n.node").alias("_node"))

@@ -51,12 +51,13 @@ r AS (
     TRY_CAST(q.h AS INT) % (CASE WHEN q.z IN ('AM', 'PM') THEN 12 ELSE 24 END) + CASE WHEN q.z = 'PM' THEN 12 ELSE 0 END AS hh, CASE WHEN q.z IN ('AM', 'PM', '') THEN NULL ELSE lower(q.z) END AS zz FROM p),
 s AS (
   SELECT *, CASE WHEN q IS NOT NULL THEN make_timestamp(yy, mm, TRY_CAST(q.d AS INT), hh, TRY_CAST(q.i AS INT), coalesce(TRY_CAST(q.s AS INT), 0) + coalesce(TRY_CAST('0.' || q.f AS DOUBLE), 0)) END AS wall,
-    CASE WHEN zz IS NULL THEN NULL WHEN regexp_matches(zz, '^[+-]') THEN (CASE WHEN zz LIKE '-%' THEN -1 ELSE 1 END) * (CAST(substr(zz, 2, 2) AS INT) * 60 + CAST(right(zz, 2) AS INT)) ELSE zones[zz] END AS off FROM r)
+    CASE WHEN zz IS NULL THEN NULL WHEN regexp_matches(zz, '^[+-]') THEN (CASE WHEN zz LIKE '-%' THEN -1 ELSE 1 END) * (CAST(substr(zz, 2, 2) AS INT) * 60 + CAST(right(zz, 2) AS INT)) ELSE zones[zz] END AS off FROM r)"""
+P6, _P6_PARTS = P6 + f"""
 SELECT field, rec, raw, CAST(CASE WHEN regexp_full_match(raw, '\\d{{10}}') THEN CAST(raw AS BIGINT) * 1000 WHEN regexp_full_match(raw, '\\d{{13}}') THEN CAST(raw AS BIGINT)
     WHEN regexp_full_match(raw, '\\d{{10}}\\.\\d{{3}}') THEN CAST(CAST(raw AS DECIMAL(18, 3)) * 1000 AS BIGINT)
     WHEN off IS NOT NULL THEN epoch_us(wall) // 1000 - off * 60000 -- an hour that occurs twice: its first pass
     ELSE epoch_us(CASE WHEN timezone(tz, timezone(tz, wall) - INTERVAL 1 HOUR) = wall THEN timezone(tz, wall) - INTERVAL 1 HOUR ELSE timezone(tz, wall) END) // 1000 END AS BIGINT) AS utc_ms
-FROM s WHERE NOT regexp_full_match(raw, '\\d{{4}}-\\d\\d-\\d\\d|\\d\\d/\\d\\d/\\d+')"""
+FROM s WHERE NOT regexp_full_match(raw, '\\d{{4}}-\\d\\d-\\d\\d|\\d\\d/\\d\\d/\\d+')""", P6
 
 _P3 = """
 WITH v AS (
@@ -75,7 +76,12 @@ r AS (
   FROM e JOIN w ON e.club = w.club AND w.date < e.date AND epoch_us(w.recorded_at) < epoch_us(CAST(e.date AS TIMESTAMP)))
 SELECT match_id, side, prior_id, prior_fthg, prior_ftag FROM r WHERE n = 1"""
 
+_P6_STATUS = _P6_PARTS + """, w AS (SELECT *, timezone(tz, wall) AS u FROM s WHERE raw IS NOT NULL)
+SELECT field, CASE WHEN regexp_full_match(raw, '\\d{4}-\\d\\d-\\d\\d|\\d\\d/\\d\\d/\\d+') THEN 'day_only' WHEN q IS NULL OR off IS NOT NULL THEN 'instant' WHEN timezone(tz, u) <> wall THEN 'nonexistent'
+    WHEN timezone(tz, u - INTERVAL 1 HOUR) = wall OR timezone(tz, u + INTERVAL 1 HOUR) = wall THEN 'ambiguous' ELSE 'direct' END AS time_status, count(*) AS n
+FROM w GROUP BY ALL"""
 ORACLE = {
+    "p6_status": _P6_STATUS,
     "p2_found": _P2 + "SELECT source_file, line_no FROM c WHERE NOT ok",
     "p2_valid": _P2 + "SELECT source_file, line_no, CAST(day AS DATE) AS match_date, home, away, h AS fthg, a AS ftag FROM c WHERE ok",
     "p3_found": _P3,

@@ -134,6 +134,16 @@ SELECT match_id, side, i - min(CASE WHEN safe THEN i END) OVER (PARTITION BY lea
     "l_outcomes": OC + " SELECT match_id, side, " + ", ".join(OUT) + " FROM oc",
     "g1_base_rates": OC + " " + " UNION ALL ".join(f"SELECT '{o}' AS outcome, league, season, side, round(avg(CAST({o} AS INT)), 6) AS base FROM oc GROUP BY league, season, side" for o in OUT),
     "g2_hypotheses": HYP + " SELECT * FROM hr",
+    # the two-sided normal p-value by the series of the error function, which converges for all z of use; 0 beyond 6
+    "g4_fdr": HYP + f""", z AS (SELECT id, outcome, n, hits, CASE WHEN var > 0 THEN (hits - ref) / sqrt(var) ELSE 0.0 END AS z FROM hr),
+pv AS (SELECT *, CASE WHEN abs(z) > 6 THEN 0.0 WHEN z = 0 THEN 1.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 150), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(abs(z) / sqrt(2)) - lgamma(k + 1)) / (2 * k + 1))) END AS p FROM z),
+rk AS (SELECT *, count(*) OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM pv), cut AS (SELECT max(p) FILTER (p <= 0.1 * r / m) AS c FROM rk)
+SELECT id, outcome, n, round(z, 6) AS z, round(p, 6) AS p, round(greatest(0.0, {_WIL('hits', 'n')[0]}), 6) AS low, round(least(1.0, {_WIL('hits', 'n')[1]}), 6) AS high, coalesce(p <= c, false) AS fdr FROM pv, cut""",
+    # a hundred steps of the fixed point for the insiders' share
+    "f13_shin": M + f""", q AS (SELECT match_id, 1/psch AS a, 1/pscd AS b, 1/psca AS c, 1/psch + 1/pscd + 1/psca AS s FROM m WHERE {_OK}),
+f AS (SELECT *, list_reduce(list_transform(range(0, 101), lambda i: 0.0::DOUBLE), lambda z, i: least(0.99, greatest(0.0, sqrt(z*z + 4*(1-z)*a*a/s) + sqrt(z*z + 4*(1-z)*b*b/s) + sqrt(z*z + 4*(1-z)*c*c/s) - 2))) AS z FROM q WHERE s > 1),
+g AS (SELECT match_id, (sqrt(z*z + 4*(1-z)*a*a/s) - z) / (2*(1-z)) AS a, (sqrt(z*z + 4*(1-z)*b*b/s) - z) / (2*(1-z)) AS b, (sqrt(z*z + 4*(1-z)*c*c/s) - z) / (2*(1-z)) AS c FROM f UNION ALL SELECT match_id, a, b, c FROM q WHERE s <= 1)
+SELECT m.match_id, round(a / (a+b+c), 9) AS home_p, round(b / (a+b+c), 9) AS draw_p, round(c / (a+b+c), 9) AS away_p FROM m LEFT JOIN g ON m.match_id = g.match_id""",
     "x2_search": SEARCH + " SELECT combo, n, hits, ref, agree FROM kr",
     "x5_search_canonical": _search(True) + " SELECT combo, n, hits, ref, agree FROM kr WHERE combo IN (" + ", ".join(f"'{k}'" for k in _canon) + ")",
     "s3_top_differences": SEARCH + " SELECT combo, n, round(hits / n - ref / n, 6) AS delta FROM kr ORDER BY abs(round(hits / n - ref / n, 6)) DESC, combo LIMIT 20",
