@@ -45,13 +45,13 @@ def hypotheses(df: DataFrame, specs: dict[str, tuple[Column, list[str]]], keys:
 
 
 def combinations(df: DataFrame, own: list[str], other: list[str], match: list[str], outcome: str | list[str], ref: str | list[str], block: str, prune: int, least: int, canonical: bool = False, prefix: str = "adv_", once: str | None = None) -> DataFrame:
-    """(combo, n, hits, ref, var, agree) of single conditions, pairs and triples (own x other x match), with at least `least` rows.
+    """(combo, n, hits, ref, var, blocks, agree) of single conditions, pairs and triples (own x other x match), with at least `least` rows.
 
     outcome, ref: one column each, or as many refs as outcomes: then all outcomes of a combination are counted in the same
     aggregation, and a column `outcome` says which a row is about. Rows where an outcome or its ref is null do not count for it.
     Each row carries the conditions true of it; singles and pairs are counted first, and only pairs of own and other with `prune` rows
-    go on to triples (a triple has no more rows than its pair: with prune <= least none is lost). agree: blocks whose difference
-    has the sign of the whole.
+    go on to triples (a triple has no more rows than its pair: with prune <= least none is lost). blocks: those that hold 50
+    rows at least; agree: those of them whose difference has the sign of the whole.
     canonical: of own x other only the orientation whose own condition comes first or is the same, for outcomes that do
     not tell the sides apart, so that no pair is tested twice as its mirror image; and no conditions of the other side alone.
     once: a column true of one of the two rows of a match; single match conditions are counted on such rows only.
@@ -79,7 +79,7 @@ def combinations(df: DataFrame, own: list[str], other: list[str], match: list[st
         b = b.select("combo", F.inline(each.cast("array<struct<outcome:string,n:bigint,hits:bigint,ref:double,var:double>>"))).where("n > 0")
         t = b.groupBy("combo", "outcome").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("ref").alias("ref"), F.sum("var").alias("var"), F.collect_list(F.when(F.col("n") >= 50, F.signum(F.round(F.col("hits") - F.col("ref"), 9)))).alias("_signs"))
         whole = F.signum(F.round(F.col("hits") - F.col("ref"), 9))
-        return t.withColumn("agree", F.size(F.filter("_signs", lambda s: (s == whole) & (s != 0))).cast("long")).drop("_signs")
+        return t.withColumn("agree", F.size(F.filter("_signs", lambda s: (s == whole) & (s != 0))).cast("long")).withColumn("blocks", F.size("_signs").cast("long")).drop("_signs")
 
     low = blocks(x.select(*kept, F.explode(first).alias("combo")))
     pairs = low.where(F.col("combo").rlike(r"^own:[^&]+&other:[^&]+$")).groupBy(F.col("combo").alias("pair")).agg(F.sum("rows").alias("rows")).where(F.col("rows") >= prune).select("pair")

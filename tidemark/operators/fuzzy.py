@@ -16,12 +16,13 @@ def words(name: Column) -> Column:
     return F.filter(F.split(F.btrim(F.regexp_replace(plain, " +", " ")), " "), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
 
 
-def link(names: DataFrame, roster: DataFrame, group: str, name: str, entry: str, least: float = 0.5) -> DataFrame:
+def link(names: DataFrame, roster: DataFrame, group: str, name: str, entry: str, least: float = 0.5, alias: dict[str, str] | None = None) -> DataFrame:
     """(group, name, entry, score): the best entry of the group's roster, null below `least`; ties to the first entry in order.
 
-    Names meet entries only over a shared beginning of a word (three letters, or the whole of a shorter word), not all of a roster.
+    alias: names that are looked up under another name first; the given name is reported. Names meet entries only over a shared beginning of a word (three letters, or the whole of a shorter word), not all of a roster.
     """
-    n = names.select(group, name).where(F.col(name).isNotNull()).distinct().withColumn("_a", words(F.col(name)))
+    known = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in alias.items() for v in kv]), F.col(name)), F.col(name)) if alias else F.col(name)
+    n = names.select(group, name).where(F.col(name).isNotNull()).distinct().withColumn("_a", words(known))
     r = roster.select(F.col(group).alias("_g"), F.col(entry)).distinct().withColumn("_b", words(F.col(entry)))
     key = lambda ws: F.array_distinct(F.transform(ws, lambda w: F.substring(w, 1, 3)))
     pairs = n.select("*", F.explode(key("_a")).alias("_k")).join(r.select("*", F.explode(key("_b")).alias("_rk")), (F.col(group) == F.col("_g")) & (F.col("_k") == F.col("_rk")))
