@@ -37,9 +37,11 @@ MARK = rf"(?:{_DOTS}[ ]?{_MISSING}|{_DOTS}|{_MISSING})$"
 _EMOJI = r"[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}\x{2B00}-\x{2BFF}\x{FE0F}]"
 
 
-def _body(text: Column) -> Column:
-    """The text without a mark of cutting: limits count what was there before it was appended."""
-    return F.regexp_replace(text, r"[ ]?" + MARK, "")
+def _lengths(text: Column) -> dict[str, Column]:
+    """Characters and bytes of the text without a mark of cutting, which was appended after a limit had cut: only the last 64
+    characters, longer than any mark, are searched for one."""
+    mark = F.regexp_extract(F.substring(text, -64, 64), r"[ ]?" + MARK, 0)
+    return {"chars": F.length(text) - F.length(mark), "bytes": F.octet_length(text) - F.octet_length(mark)}
 
 
 def limits(docs: DataFrame, text: str, source: str, least: int = 5, factor: float = 5.0, deviations: float = 5.0) -> DataFrame:
@@ -50,8 +52,7 @@ def limits(docs: DataFrame, text: str, source: str, least: int = 5, factor: floa
     Texts reposted word for word in a source count once, by hash. Null texts are left out, a null source is a source. Counts are
     taken over all texts, of which only hashes and lengths are shuffled.
     """
-    t = _body(F.col(f"`{text}`"))
-    h = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{source}`").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes")).distinct()
+    h = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{source}`").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), *[c.alias(k) for k, c in _lengths(F.col(f"`{text}`")).items()]).distinct()
     h = h.select("source", F.inline(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])))
     h = h.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     near = lambda a, b: f"coalesce(sum(n) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN {a} AND {b}), 0) / 20D"
@@ -91,7 +92,7 @@ def ends(docs: DataFrame, text: str, source: str, closings: Closings = Closings(
     # texts without a shape get keys of their own, so that they spread where the join is shuffled
     x = x.join(checked_broadcast(shapes), F.coalesce("_shape", F.concat(F.lit("?"), F.xxhash64(t).cast("string"))) == F.col("_known"), "left")
     lim = checked_broadcast(limits(docs, text, source))
-    for unit, length in (("chars", F.length(_body(t))), ("bytes", F.octet_length(_body(t)))):
+    for unit, length in _lengths(t).items():
         # a limit in bytes can fall within a character, which is then dropped or replaced
         slack = F.array(F.lit(0)) if unit == "chars" else F.array(*[F.lit(i) for i in range(3)])
         u = lim.where(F.col("unit") == unit).select(F.col("source").alias(f"_s_{unit}"), F.explode(F.transform(slack, lambda i: F.col("length") - i)).alias(f"_l_{unit}")).distinct()
