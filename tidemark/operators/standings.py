@@ -2,14 +2,21 @@
 
 The fold over results becomes sums over earlier days. All matches of a day see one table, so there are days times entities
 rows, of the order of the matches themselves, and two rows a match come out; a group of many entities that meet seldom (a cup)
-does not multiply its matches by its entities. grid() gives the sequential fold, in which matches of a day see each other.
+does not multiply its matches by its entities. sequential() is the fold in which matches of a day see each other: one pass over
+the sorted matches of each group. grid() lays out the state of every entity before every match, for small groups.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 
 def grid(matches: DataFrame, group: list[str], match_id: str = "match_id", day: str = "date", home: str = "home", away: str = "away", gf: str = "fthg", ga: str = "ftag", strict: bool = True) -> DataFrame:
     """(group, match_id, team, pts, gd, gf, played, rank, n_teams) before each match.
@@ -38,6 +45,62 @@ def grid(matches: DataFrame, group: list[str], match_id: str = "match_id", day:
     return x.select("*", rank.cast("long").alias("rank"), F.count(F.lit(1)).over(per_match).alias("n_teams"))
 
 
+def sequential(matches: DataFrame, group: list[str], match_id: str = "match_id", day: str = "date", home: str = "home", away: str = "away", gf: str = "fthg", ga: str = "ftag") -> DataFrame:
+    """(match_id, team, pts, gd, gf, played, rank) of the two sides of each match, with all earlier matches of the group counted, those of the same day with a smaller match_id too.
+
+    The rows of grid(strict=False) for the teams that play, without laying out matches times teams: a task goes through the sorted matches of its groups and holds the
+    table of one group. Nulls come last: matches without a day, among equal teams one without a name (which has a place in the table, but no row). A match without both goals
+    earns nothing; one without a group or match_id has no row; a team against itself has one.
+    """
+    ship(matches.sparkSession)
+    m = matches.dropna(subset=group)
+    goals = [F.col(c).cast("long").alias(n) for c, n in ((gf, "_f"), (ga, "_a"))]
+    rows = m.select(*group, F.lit(1).alias("_kind"), F.col(day).alias("_day"), F.col(match_id).alias("_id"), F.col(home).alias("_home"), F.col(away).alias("_away"), *goals)
+    # the teams of a group come before its matches, by name
+    teams = m.select(*group, F.explode(F.array(home, away)).alias("_home")).distinct().withColumn("_kind", F.lit(0))
+    x = rows.unionByName(teams, allowMissingColumns=True).repartition(*group)
+    x = x.sortWithinPartitions(*group, "_kind", F.asc_nulls_last("_day"), F.asc_nulls_last("_id"), F.asc_nulls_last("_home")).drop("_day")
+    columns, n = ["_kind", "_id", "_home", "_away", "_f", "_a"], len(group)
+    names = [match_id, "team", "pts", "gd", "gf", "played", "rank"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, state, places = None, {}, {}, []
+        for b in batches:
+            out, ids = [], b.column("_id")
+            taken = []
+            for i, (g, (kind, id_, h, a, f, against)) in enumerate(zip(zip(*[b.column(j).to_pylist() for j in range(n)]), zip(*[b.column(c).to_pylist() for c in columns]))):
+                if g != at:
+                    at, number, state, places = g, {}, {}, []
+                if not kind:
+                    # pts, gd and gf negated, as the least key is first; then the name's place
+                    number[h] = len(number)
+                    state[h] = (0, 0, 0, number[h], 0)
+                    places.append(state[h][:4])
+                    continue
+                two = (h,) if h == a else (h, a)
+                if id_ is not None:
+                    for team in two:
+                        if team is not None:
+                            p, d, q, _, played = state[team]
+                            out.append((team, -p, -d, -q, played, bisect_left(places, state[team][:4]) + 1))
+                            taken.append(i)
+                if f is None or against is None:
+                    continue
+                for team, own, other in zip(two, (f, against), (against, f)):
+                    if team is not None:
+                        p, d, q, no, played = state[team]
+                        del places[bisect_left(places, (p, d, q, no))]
+                        p -= 3 if own > other else own == other
+                        state[team] = (p, d - (own - other), q - own, no, played + 1)
+                        insort(places, state[team][:4])
+            if out:
+                team, *numbers = zip(*out)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(taken)), pa.array(team, b.column("_home").type), *[pa.array(c, pa.int64()) for c in numbers]], names=names)
+
+    kinds = dict(matches.dtypes)
+    return x.mapInArrow(fold, f"`{match_id}` {kinds[match_id]}, team {kinds[home]}, pts bigint, gd bigint, gf bigint, played bigint, rank bigint")
+
+
 def by_day(matches: DataFrame, group: list[str], day: str = "date", home: str = "home", away: str = "away", gf: str = "fthg", ga: str = "ftag") -> DataFrame:
     """(group, day, team, pts, gd, gf, played, rank, n_teams) at the start of each day of the group, for all its teams.
 
