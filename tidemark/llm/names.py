@@ -238,6 +238,8 @@ def link(names: DataFrame, roster: DataFrame, vocabulary: Vocabulary = CLUBS) ->
     # how often a stem occurs in its league: a bare stem means a club only if one club bears it
     r = r.withColumn("same_stem", F.count("*").over(Window.partitionBy("r_league", "r.stem")))
     refs = r.select("r_league", "club_id", F.col("r.types").alias("r_types"), F.col("r.stem").alias("r_stem"), "same_stem", F.inline(_references(F.col("r.stem")))).distinct()
+    # a club has hundreds of references, which the planner takes for one row: without the hint it broadcasts them all through the driver
+    refs = refs.hint("merge")
     n = F.col("n")
     probe = rest.where("n.kind <> 'none'").select("league", "written", "n", F.inline(_sought(n)))
     probe = probe.withColumnsRenamed({c: f"p_{c}" for c in ("how", "len", "no", "text")})
