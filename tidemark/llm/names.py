@@ -234,7 +234,9 @@ def link(names: DataFrame, roster: DataFrame, vocabulary: Vocabulary = CLUBS) ->
     rest = names.join(entries.select(F.col("r_league").alias("league"), F.col("club").alias("written")), ["league", "written"], "left_anti")
     # a fixed number of tasks: the few bytes of a name stand for much work
     rest = rest.repartition(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "written").withColumn("n", parsed(F.col("written"), types, vocabulary))
-    r = entries.select("r_league", "club_id", parsed(F.col("club"), types, vocabulary, entry=True).alias("r"))
+    # cut here: else the large expression of `n` is planned, printed and run again wherever n is filtered or read
+    rest = cut_lineage(rest)
+    r = cut_lineage(entries.select("r_league", "club_id", parsed(F.col("club"), types, vocabulary, entry=True).alias("r")))
     # how often a stem occurs in its league: a bare stem means a club only if one club bears it
     r = r.withColumn("same_stem", F.count("*").over(Window.partitionBy("r_league", "r.stem")))
     refs = r.select("r_league", "club_id", F.col("r.types").alias("r_types"), F.col("r.stem").alias("r_stem"), "same_stem", F.inline(_references(F.col("r.stem")))).distinct()

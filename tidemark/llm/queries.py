@@ -49,22 +49,25 @@ def fixtures_linked(spark: SparkSession, base: str) -> DataFrame:
     local_day = lambda us, tz: F.unix_date(F.to_date(F.from_utc_timestamp(F.timestamp_micros(us), F.coalesce(tz, F.lit("UTC")))))
     e = table(spark, base, "api_events").groupBy("event_id").agg(F.max(F.struct("fetched_at", "sport_key", "commence_time", "home_team", "away_team")).alias("x"))
     e = e.select("event_id", "x.*").join(leagues, "sport_key", "left")
-    e = instants.normalise(e, "commence_time", "tz", zones)
     m = table(spark, base, "matches").groupBy("match_id").agg(F.min(F.struct("league", "date", "home", "away")).alias("x"), F.max("date_str").alias("date_str"))
     m = m.select("match_id", "x.*", "date_str").join(leagues.select("league", "tz").dropDuplicates(["league"]), "league", "left")
-    m = instants.normalise(m, "date_str", "tz", zones)
-    written = e.select("league", F.explode(F.array("home_team", "away_team")).alias("written")).unionByName(m.select("league", F.explode(F.array("home", "away")).alias("written")))
-    # used for four columns: computed once
-    ids = cut_lineage(names.link(written, roster(spark, base)).where("club_id >= 0").select("league", "written", "club_id"))
-
-    def with_ids(df: DataFrame, home: str, away: str) -> DataFrame:
-        for side, c in (("h", home), ("a", away)):
-            df = df.join(ids.select(F.col("league"), F.col("written").alias(c), F.col("club_id").alias(f"_{side}")), ["league", c], "left")
-        return df
-
-    e = with_ids(e, "home_team", "away_team").select("event_id", F.col("league").alias("e_league"), F.col("_h").alias("e_home"), F.col("_a").alias("e_away"), F.col("utc_us").alias("e_us"), local_day(F.col("utc_us"), F.col("tz")).alias("e_day"))
-    m = with_ids(m, "home", "away").select("match_id", F.col("league").alias("m_league"), F.col("_h").alias("m_home"), F.col("_a").alias("m_away"), F.col("utc_us").alias("m_us"), F.unix_date("date").alias("m_day"))
-    return entities.cascade(e, m, "event_id", "match_id", entities.fixture_rules())
+    # both listings go through one plan: the driver plans, compiles and broadcasts once what they have in common
+    listed = e.select(F.lit(False).alias("is_match"), F.col("event_id").alias("id"), "league", F.col("home_team").alias("home"), F.col("away_team").alias("away"), F.col("commence_time").alias("at"), "tz", F.lit(None).cast("int").alias("day"))
+    listed = listed.unionByName(m.select(F.lit(True).alias("is_match"), F.col("match_id").alias("id"), "league", "home", "away", F.col("date_str").alias("at"), "tz", F.unix_date("date").alias("day")))
+    # used for two columns: computed once; taken before the times are read, which names do without
+    ids = cut_lineage(names.link(listed.select("league", F.explode(F.array("home", "away")).alias("written")), roster(spark, base)).where("club_id >= 0").select("league", "written", "club_id"))
+    both = listed
+    for side in ("home", "away"):
+        both = both.join(ids.select("league", F.col("written").alias(side), F.col("club_id").alias(f"{side}_id")), ["league", side], "left")
+    # after the joins: the planner would copy the reading of texts into each side of the union
+    both = instants.normalise(both, "at", "tz", zones)
+    both = cut_lineage(both.select("is_match", "id", "league", "home_id", "away_id", "utc_us", F.when(F.col("is_match"), F.col("day")).otherwise(local_day(F.col("utc_us"), F.col("tz"))).alias("day")))
+
+    def named(rows: DataFrame, key: str, c: str) -> DataFrame:
+        return rows.select(F.col("id").alias(key), F.col("league").alias(f"{c}_league"), F.col("home_id").alias(f"{c}_home"), F.col("away_id").alias(f"{c}_away"), F.col("utc_us").alias(f"{c}_us"), F.col("day").alias(f"{c}_day"))
+
+    e, m = named(both.where("not is_match"), "event_id", "e"), named(both.where("is_match"), "match_id", "m")
+    return entities.cascade(e, m, "event_id", "match_id", entities.fixture_rules(), computed=True)
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
